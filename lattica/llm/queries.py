@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, mixing
+from . import decontaminate, jaccard, mixing
 from .common import read_table
 
 
@@ -16,7 +17,12 @@ def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"), keep=("doc_id",))
 
 
-QUERIES = {f.__name__: f for f in (op4_decontaminate, op5_mix)}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = jaccard.link(read_table(spark, sf_dir, "documents"), k=4, percent=85)
+    return linked.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
+QUERIES = {f.__name__: f for f in (op4_decontaminate, op5_mix, op10_jaccard_join)}
 
 OP5_SQL = r"""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
