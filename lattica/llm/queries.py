@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, linededup, mixing
+from . import decontaminate, jaccard, linededup, mixing, warc
 from .common import read_table
 
 
@@ -24,12 +24,16 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.length(text).cast("long").alias("n_chars_kept"), F.sha2(text.cast("binary"), 256).alias("kept_sha256"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read_table(spark, sf_dir, "pages"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = jaccard.link(read_table(spark, sf_dir, "documents"), k=4, percent=85)
     return linked.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 
-QUERIES = {f.__name__: f for f in (op4_decontaminate, op5_mix, op6_line_dedup, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op4_decontaminate, op5_mix, op6_line_dedup, op7_warc, op10_jaccard_join)}
 
 OP5_SQL = r"""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
@@ -51,4 +55,14 @@ SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN edge IS
 FROM e
 """
 
-ORACLE_SQL = {"op5_mix": OP5_SQL}
+OP7_SQL = """
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS sha FROM pages),
+w AS (SELECT *, max(page_id) OVER (PARTITION BY sha) AS winner FROM p)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(sha, CAST(1 + (5 * i) // 4 AS INTEGER), 2) AS INTEGER) >> CAST(3 - (5 * i) % 4 AS INTEGER)) & 31), 1)), '') AS payload_digest,
+  CASE WHEN winner <> page_id OR page_id IS NULL AND winner IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN winner <> page_id OR page_id IS NULL THEN winner END AS refers_to
+FROM w
+"""
+
+ORACLE_SQL = {"op5_mix": OP5_SQL, "op7_warc": OP7_SQL}
