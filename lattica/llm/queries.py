@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, linededup, mixing, warc
+from . import decontaminate, jaccard, langid, linededup, mixing, warc
 from .common import read_table
+from .sampling import fold
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,12 +29,18 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read_table(spark, sf_dir, "pages"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    out = langid.identify(docs, langid.fit(docs), keep=("doc_id",))
+    return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = jaccard.link(read_table(spark, sf_dir, "documents"), k=4, percent=85)
     return linked.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 
-QUERIES = {f.__name__: f for f in (op4_decontaminate, op5_mix, op6_line_dedup, op7_warc, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op4_decontaminate, op5_mix, op6_line_dedup, op7_warc, op8_language_id, op10_jaccard_join)}
 
 OP5_SQL = r"""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
