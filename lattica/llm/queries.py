@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, langid, linededup, mixing, quality, warc
+from . import decontaminate, htmltext, jaccard, langid, linededup, mixing, quality, warc
 from .common import read_table
 from .sampling import fold
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract_text(read_table(spark, sf_dir, "pages"), keep=("page_id", "url"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     out = quality.score(docs, quality.fit(docs, read_table(spark, sf_dir, "labels")), keep=("doc_id",))
@@ -46,7 +50,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op4_decontaminate, op5_mix, op6_line_dedup, op7_warc, op8_language_id, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_quality, op4_decontaminate, op5_mix, op6_line_dedup, op7_warc, op8_language_id, op10_jaccard_join)}
 
 OP5_SQL = r"""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
