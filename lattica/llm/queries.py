@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, htmltext, jaccard, langid, linededup, mixing, nndescent, quality, warc
+from . import decontaminate, htmltext, jaccard, langid, linededup, mixing, nndescent, quality, substrings, warc
 from .common import read_table
 from .sampling import fold
 
@@ -49,12 +49,17 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = jaccard.link(read_table(spark, sf_dir, "documents"), k=4, percent=85)
     return linked.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op2_quality, op3_nn_descent, op4_decontaminate, op5_mix, op6_line_dedup, op7_warc, op8_language_id, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_quality, op3_nn_descent, op4_decontaminate, op5_mix, op6_line_dedup, op7_warc, op8_language_id, op9_suffix_dedup, op10_jaccard_join)}
 
 OP5_SQL = r"""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
