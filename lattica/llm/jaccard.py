@@ -11,8 +11,8 @@ pairs would be too many, on their own; sizes around the bound get both). Candida
 pass the size and position bounds are pruned by parity bitmaps (a proven upper bound of the
 overlap) and then verified on the whole sets.
 
-Only components are wanted, so a bucket's pairs aren't all made: neighbours in size order
-are linked first; then, in buckets that still span several components, exactly the pairs
+Only components are wanted, so a bucket's pairs aren't all made: its members are compared
+with the one of them whose key comes earliest in its order; then, in buckets that still span several components, exactly the pairs
 whose components differ are tested. No link between different components is lost.
 
 Defined cases: texts that are null or wordless have an empty set and are alone; equal sets
@@ -80,13 +80,15 @@ def _add_counts(batches):
 
 
 def _classes(survey: DataFrame):
-    """Broadcast class of each sketch bucket (4 MB): 0 rare, else the logarithm of how far it is above the mean."""
+    """Broadcast class of each sketch bucket (4 MB): 0 rare, else the logarithm of how far it is above chance."""
     counts = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.int64)
     summed = survey.where("slice is not null").select("slice", "blob").repartition(SLICES, "slice").mapInArrow(_add_counts, "slice int, blob binary")
     for row in summed.toLocalIterator():
         counts[row["slice"]] = np.frombuffer(row["blob"], np.int64)
     counts = counts.ravel()
-    top = np.log2(np.maximum(1, counts / (4 * max(1.0, counts.mean())))).astype(np.uint8)
+    mean = counts.mean()
+    # Chance alone seldom takes a bucket of about ``mean`` that far; calling a rare shingle frequent costs little.
+    top = np.log2(1 + np.maximum(0, counts - mean) / (3 * np.sqrt(mean) + 4)).astype(np.uint8)
     return survey.sparkSession.sparkContext.broadcast(top.tobytes())
 
 
@@ -211,13 +213,14 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
     rows = survey.where("slice is null").select("id", "n", "digest")
     classes = _classes(survey)
     keys = texts.mapInArrow(_index(k, percent, classes), "key long, id long, n int, rest int")
-    order = Window.partitionBy("key").orderBy("n", "id")
+    order = Window.partitionBy("key").orderBy(F.desc(F.col("rest") / F.col("n")), "id")
     run = keys.repartition("key").withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("m > 1")
-    run = run.select("key", "id", "n", "rest", F.lag(F.struct("id", "n", "rest")).over(order).alias("p"))
+    run = run.select("key", "id", "n", "rest", F.first(F.struct("id", "n", "rest")).over(order).alias("p"))
     index = cut(run, "jaccard-index")
 
     fits = lambda n, m, r, s: F.least(r, s) * (100 + percent) >= (n + m) * percent
-    first = index.where(F.col("p").isNotNull() & (F.col("id") != F.col("p.id")) & fits(F.col("n"), F.col("p.n"), F.col("rest"), F.col("p.rest")))
+    # In copies of one text, that with the fewest shingles of its own is nearest to the others.
+    first = index.where( (F.col("id") != F.col("p.id")) & fits(F.col("n"), F.col("p.n"), F.col("rest"), F.col("p.rest")))
     first = cut(first.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct(), "jaccard-first")
     links = _verify(texts, first, k, percent)
     equal = rows.where("n > 0 and id is not null").groupBy("n", "digest").agg(F.min("id").alias("m"))
