@@ -420,3 +420,9 @@ def test_jaccard_defined_cases(odd, none):
     assert len(got) == 9 and {r["component"] for r in got if r["id"] is not None} == {1, 2, 3, 4, 5, 6, 7}
     assert jaccard.link(none).count() == 0
     assert jaccard.drop_near_copies(odd).columns == odd.columns
+
+
+def test_wrappers_named_after_a_sidebar_stay():
+    page = '<body class="with-sidebar"><div class="page has-sidebar"><div class="site-header"><p>top</p></div><div class="post-content"><h1>T</h1><p>x</p></div><section id="comments"><article class="comment"><p>no</p></article></section></div>'
+    assert htmltext.extract(page)[0] == "T\nx"
+    assert htmltext.extract('<body><div class="header">top</div><p>x</p><div class="footer">f</div>')[0] == "x"
