@@ -4,8 +4,9 @@ Every byte covered by a string of ``length`` bytes that also starts anywhere els
 corpus is removed. Which strings can repeat at all is narrowed first: each string belongs to
 the anchor of least hash in it (a function of its bytes alone), anchors are counted by
 fingerprint over all documents, and only runs of strings whose fingerprint occurs twice are
-kept, each string once. These runs are dealt by fingerprint into shards; a shard's suffixes
-are sorted by induction with queues that spill to disk (:mod:`.suffixes`), and neighbours
+kept, each string once. These runs are dealt by fingerprint into shards, in which equal runs
+are one (they repeat each other); where different runs share a fingerprint, the suffixes are
+sorted by induction with queues that spill to disk (:mod:`.suffixes`), and neighbours
 with a common prefix of ``length`` bytes are repeats. Fingerprints decide only what is
 compared; the suffix order and the bytes decide what repeats.
 
@@ -20,7 +21,6 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -124,47 +124,78 @@ _RUN_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bin
 _RUN_SCHEMA = "fp long, doc long, key long, start long, twice boolean, body binary, starts int"
 
 
+class _Shard:
+    """Runs gathered by fingerprint until there are enough to sort."""
+
+    def __init__(self, length: int):
+        self.length = length
+        self.out: list[list] = [[], [], [], []]
+        self.reset()
+
+    def reset(self) -> None:
+        self.bodies: list[bytes] = []
+        self.owners: list[tuple[int, int, int] | None] = []  # None where all starts are known to repeat
+        self.size = 0
+
+    def emit(self, doc: int, key: int, lo: int, hi: int) -> None:
+        for to, x in zip(self.out, (doc, key, lo, hi), strict=True):
+            to.append(x)
+
+    def add(self, group: dict[bytes, list[tuple[int, int, int, bool]]]) -> None:
+        """All runs of one fingerprint by their bytes. Equal runs repeat each other, so one stands for them."""
+        single = False
+        for body, places in group.items():
+            if len(places) > 1 or places[0][3]:
+                for doc, key, start, _ in places:
+                    self.emit(doc, key, start, start + len(body) - self.length + 1)
+            else:
+                single = True
+        if not single or len(group) == 1:
+            return  # nothing is left to find
+        for body, places in group.items():
+            known = len(places) > 1 or places[0][3]
+            self.bodies.append(body)
+            self.owners.append(None if known else places[0][:3])
+            self.size += len(body)
+
+    def sort(self) -> None:
+        for owner, found in zip(self.owners, repeated_starts(self.bodies, self.length) if self.bodies else [], strict=True):
+            if owner is not None and len(found):
+                doc, key, start = owner
+                for part in np.split(found, np.flatnonzero(np.diff(found) != 1) + 1):
+                    self.emit(doc, key, start + int(part[0]), start + int(part[-1]) + 1)
+        self.reset()
+
+    def flush(self) -> pa.RecordBatch:
+        batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in self.out], names=["doc", "key", "lo", "hi"])
+        self.out = [[], [], [], []]
+        return batch
+
+
 def _sorted_shards(length: int):
     """Repeated starts of each run as ``(doc, key, lo, hi)``, hi excluded."""
 
     def shards(batches):
-        held: list[pa.RecordBatch] = []
-        size, last = 0, None
+        shard, group, last = _Shard(length), {}, None
         for batch in batches:
-            fp = batch.column("fp").to_numpy()
-            if not len(fp):
-                continue
-            edges = [0, *(np.flatnonzero(fp[1:] != fp[:-1]) + 1).tolist(), len(fp)]
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                # A shard ends between fingerprints; one fingerprint may make it as large as it is.
-                if fp[a] != last and size >= SHARD_BYTES:
-                    yield _shard(held, length)
-                    held, size = [], 0
-                last = fp[a]
-                held.append(batch.slice(a, b - a))
-                size += int(pa.compute.sum(pa.compute.binary_length(held[-1].column("body"))).as_py())
-        if held:
-            yield _shard(held, length)
+            columns = [batch.column(c).to_pylist() for c in ("fp", "body", "doc", "key", "start", "twice")]
+            for fp, body, doc, key, start, twice in zip(*columns, strict=True):
+                if fp != last:
+                    shard.add(group)
+                    group, last = {}, fp
+                    # A shard ends between fingerprints; one fingerprint may make it as large as it is.
+                    if shard.size >= SHARD_BYTES:
+                        shard.sort()
+                group.setdefault(body, []).append((doc, key, start, twice))
+            if len(shard.out[0]) > 100_000:
+                yield shard.flush()
+        shard.add(group)
+        shard.sort()
+        yield shard.flush()
 
     return shards
 
 
-def _shard(held: list[pa.RecordBatch], length: int) -> pa.RecordBatch:
-    table = pa.Table.from_batches(held)
-    bodies = table.column("body").to_pylist()
-    twice, start, starts = (table.column(c).to_numpy() for c in ("twice", "start", "starts"))
-    out: list[list] = [[], [], []]
-    for i, found in enumerate(repeated_starts(bodies, length)):
-        if twice[i]:
-            out[0].append(i), out[1].append(start[i]), out[2].append(start[i] + starts[i])
-        elif len(found):
-            gaps = np.flatnonzero(np.diff(found) != 1) + 1
-            for part in np.split(found, gaps):
-                out[0].append(i), out[1].append(start[i] + part[0]), out[2].append(start[i] + part[-1] + 1)
-    at = pa.array(out[0], pa.int64())
-    return pa.RecordBatch.from_arrays([table.column(c).take(at).combine_chunks() for c in ("doc", "key")] + [pa.array(c, pa.int64()) for c in out[1:]], names=["doc", "key", "lo", "hi"])
-
-
 def _cleaned(length: int):
     def clean(batches):
         for batch in batches:
@@ -200,7 +231,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     keyed = texts.select("id", F.coalesce("id", F.lit(-1)).alias("doc"), F.xxhash64("id", "body").alias("key"), "body")
     long_ = keyed.where(F.length("body") >= length).select("doc", "key", "body")
     prints = cut(long_.select("body").mapInArrow(_prints(length), "fp long, times long").groupBy("fp").agg(F.sum("times").alias("times")).where("times > 1").select("fp"), "repeats-prints")
-    chosen = id_filter(prints, "fp", prints.count())
+    chosen = id_filter(prints, "fp", 4 * prints.count())
     runs = cut(long_.mapInArrow(_runs(length, chosen), _RUN_SCHEMA), "repeats-runs")
     forget(prints)
     shards = runs.where("fp is not null").repartition("fp").sortWithinPartitions("fp")
