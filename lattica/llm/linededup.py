@@ -1,7 +1,7 @@
 """Fuzzy line de-duplication with DataFrame functions only.
 
-Lines of at least five words are lower-cased and stripped to letters, digits and single
-spaces. Each gets a 64-bit SimHash of its words. SimHashes at most three bits apart agree in
+Lines of at least five words (parted by single spaces) are lower-cased and trimmed, tabs and
+carriage returns counting as spaces. Each gets a 64-bit SimHash of its different words. SimHashes at most three bits apart agree in
 two of five blocks, so every pair of blocks is a join key; candidates are verified by edit
 similarity on the normalised lines. Of each connected group of lines the occurrence with the
 smallest ``(doc_id, position)`` stays and the others go.
@@ -29,14 +29,11 @@ BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 MAX_BITS = 3
 
 
-def normalised(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
-
-
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null and text is not null")
-    rows = rows.select("doc", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return rows.select("doc", "pos", normalised(F.col("line")).alias("norm"))
+    rows = docs.select(F.col(id_col).alias("doc"), F.lower(F.col(text_col).cast("string")).alias("text")).where("doc is not null and text is not null")
+    for blank in "\t\r":
+        rows = rows.withColumn("text", F.replace("text", F.lit(blank), F.lit(" ")))
+    return rows.select("doc", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("doc", "pos", F.trim("line").alias("norm"))
 
 
 def _occurrences(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
@@ -45,8 +42,8 @@ def _occurrences(docs: DataFrame, min_words: int, id_col: str, text_col: str) ->
     Two bit counters share a long; a line has fewer than 2**31 words, so none overflows.
     """
     lines = _lines(docs, id_col, text_col).withColumn("words", F.split("norm", " ")).where(F.size("words") >= min_words)
-    lines = lines.select("doc", "pos", F.unhex(F.md5("norm")).alias("lid"), F.length("norm").alias("len"), "words")
-    tokens = lines.select("doc", "pos", "lid", "len", F.explode("words").alias("w")).select("doc", "pos", "lid", "len", F.xxhash64("w").alias("h"))
+    lines = lines.select("doc", "pos", F.unhex(F.md5("norm")).alias("lid"), F.length("norm").alias("len"), F.array_distinct(F.transform("words", lambda w: F.xxhash64(w))).alias("hashes"))
+    tokens = lines.select("doc", "pos", "lid", "len", F.explode("hashes").alias("h"))
     pair = F.lit((1 << 32) | 1)
     sums = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(pair)).alias(f"s{i}") for i in range(LANES)]
     counted = tokens.groupBy("doc", "pos", "lid", "len").agg(F.count(F.lit(1)).alias("nw"), *sums)
@@ -64,17 +61,25 @@ def _keys(sim: Column) -> Column:
     return F.array(*[(F.shiftleft(block[i], 13).bitwiseOR(block[j]) + F.lit(n << 26)).cast("int") for n, (i, j) in enumerate(combinations(range(len(BLOCKS)), 2))])
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, where: DataFrame, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """Those pairs ``(a, b)`` of lines whose edit similarity is enough; ``where`` has an occurrence of each line."""
+def _texts(docs: DataFrame, lines: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(lid, norm)`` of the lines in ``pairs``, read where each occurs first."""
     asked = pairs.select(F.col("a").alias("lid")).union(pairs.select(F.col("b").alias("lid"))).distinct()
-    places = cut(where.join(asked, "lid", "left_semi").select("lid", F.col("doc").alias("at_doc"), F.col("pos").alias("at_pos")), "lines-places")
+    places = cut(lines.join(asked, "lid", "left_semi").select("lid", F.col("first.doc").alias("at_doc"), F.col("first.pos").alias("at_pos")), "lines-places")
     some = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(places.select(F.col("at_doc").alias("doc")).distinct(), "doc", "left_semi")
-    lines = _lines(some, "doc", "text")
-    text = lines.join(places, (F.col("doc") == F.col("at_doc")) & (F.col("pos") == F.col("at_pos")) & (F.unhex(F.md5("norm")) == F.col("lid"))).select("lid", "norm").dropDuplicates(["lid"])
-    text = cut(text, "lines-text")
+    read = _lines(some, "doc", "text")
+    # Rows of equal id may differ in text, so the line itself decides.
+    same = (F.col("doc") == F.col("at_doc")) & (F.col("pos") == F.col("at_pos"))
+    texts = read.join(places, same).where(F.unhex(F.md5("norm")) == F.col("lid")).select("lid", "norm")
+    return cut(texts.dropDuplicates(["lid"]), "lines-text")
+
+
+def _verified(pairs: DataFrame, text: DataFrame, similarity: float) -> DataFrame:
+    """Those pairs ``(a, b)`` of lines whose edit similarity is enough."""
     both = pairs.join(text.select(F.col("lid").alias("a"), F.col("norm").alias("x")), "a").join(text.select(F.col("lid").alias("b"), F.col("norm").alias("y")), "b")
-    both = both.withColumn("most", F.floor(F.greatest(F.length("x"), F.length("y")) * F.lit(1 - similarity) + 1e-9).cast("int"))
-    return both.where(F.expr("levenshtein(x, y, most)") >= 0).select("a", "b")
+    most = "cast(floor(greatest(length(x), length(y)) * {} + 1e-9) as int)".format
+    # Most similar lines are very similar, which a narrow band shows at less cost.
+    narrow, wide = f"levenshtein(x, y, {most(0.04)})", f"levenshtein(x, y, {most(repr(round(1 - similarity, 9)))})"
+    return both.where(F.expr(f"case when {narrow} >= 0 then true else {wide} >= 0 end")).select("a", "b")
 
 
 def line_groups(docs: DataFrame, min_words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -82,7 +87,6 @@ def line_groups(docs: DataFrame, min_words: int = 5, similarity: float = 0.8, id
     occ = cut(_occurrences(docs, min_words, id_col, text_col), "lines-occurrences")
     lines = occ.groupBy("lid").agg(F.first("sim").alias("sim"), F.first("len").alias("len"), F.min(F.struct("doc", "pos")).alias("first"), F.count(F.lit(1)).alias("times"))
     lines = cut(lines, "lines-distinct")
-    where = lines.select("lid", "first.doc", "first.pos")
     close = lambda n, m: F.least(n, m) >= F.greatest(n, m) * F.lit(similarity) - 1e-9
 
     # Buckets of SimHashes; those alone in all their buckets are gone after this.
@@ -97,22 +101,31 @@ def line_groups(docs: DataFrame, min_words: int = 5, similarity: float = 0.8, id
     chain = chain.join(head, "sim").withColumnRenamed("lid", "a").join(head.select(F.col("sim").alias("prev"), F.col("lid").alias("b")), "prev").select("a", "b")
     same = lines.join(sims.where("lines > 1").select("sim", F.col("lid").alias("b")), "sim").where("lid <> b").select(F.col("lid").alias("a"), "b")
     first = cut(chain.union(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "lines-first")
-    links = cut(_verified(docs, first, where, similarity, id_col, text_col), "lines-links")
+    links = cut(_verified(first, _texts(docs, lines, first, id_col, text_col), similarity), "lines-links")
     found = cut(components(links), "lines-components")
 
-    # What still spans groups: every pair of different groups there is tested.
+    # What still spans groups: every pair of lines of different groups there is tested.
     label = F.coalesce("component", "lid")
-    known = lines.select("lid", "sim", "len").join(found.withColumnRenamed("node", "lid"), "lid", "left").withColumn("c", label).drop("component")
-    several = sims.where("lines > 1").select("sim", F.explode(_keys(F.col("sim"))).alias("key"))
-    known = bucket.select("key", "sim").union(several.select("key", "sim")).distinct().join(known, "sim")
-    open_ = known.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    known = cut(known.join(open_, "key", "left_semi"), "lines-open")
-    x, y = known.alias("x"), known.alias("y")
-    more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.lid") < F.col("y.lid")) & (F.col("x.c") != F.col("y.c")) & near("x.sim", "y.sim") & close(F.col("x.len"), F.col("y.len")))
-    more = cut(more.select(F.col("x.lid").alias("a"), F.col("y.lid").alias("b")).distinct().join(first, ["a", "b"], "left_anti"), "lines-more")
-    forget(bucket)
+    known = lines.select("lid", "sim", "len").join(found.withColumnRenamed("node", "lid"), "lid", "left").withColumn("c", label)
+    known = cut(known, "lines-known")
+    whole = known.groupBy("sim").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("component").alias("linked"))
+    # Only linked lines need a label: the others are groups of their own, apart from all.
+    labels = whole.where("linked > 0 or lo <> hi").select(F.explode(_keys(F.col("sim"))).alias("key"), "sim", "lo", "hi")
+    none = F.lit(None).cast("binary")
+    labelled = bucket.select("key", "sim", none.alias("lo"), none.alias("hi")).union(labels).repartition("key").groupBy("key", "sim").agg(F.max("lo").alias("lo"), F.max("hi").alias("hi"))
+    labelled = cut(labelled, "lines-labelled")
+    x, y = labelled.alias("x"), labelled.alias("y")
+    together = (F.col("x.lo") == F.col("y.lo")) & (F.col("x.lo") == F.col("x.hi")) & (F.col("y.lo") == F.col("y.hi"))
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.sim") < F.col("y.sim")) & near("x.sim", "y.sim") & ~F.coalesce(together, F.lit(False)))
+    pairs = pairs.select(F.col("x.sim").alias("sim"), F.col("y.sim").alias("other")).distinct().union(whole.where("lo <> hi").select("sim", F.col("sim").alias("other")))
+    more = pairs.join(known.select("sim", F.col("lid").alias("a"), F.col("len").alias("n"), F.col("c").alias("ca")), "sim")
+    more = more.join(known.select(F.col("sim").alias("other"), F.col("lid").alias("b"), F.col("len").alias("m"), F.col("c").alias("cb")), "other")
+    more = more.where((F.col("ca") != F.col("cb")) & close(F.col("n"), F.col("m"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = cut(more.distinct().join(first, ["a", "b"], "left_anti"), "lines-more")
+    for table in (bucket, labelled, known):
+        forget(table)
     if not more.isEmpty():
-        links = cut(links.union(_verified(docs, more, where, similarity, id_col, text_col)), "lines-links")
+        links = cut(links.union(_verified(more, _texts(docs, lines, more, id_col, text_col), similarity)), "lines-links")
         found = cut(components(links), "lines-components")
     groups = lines.select("lid", "first", "times").join(found.withColumnRenamed("node", "lid"), "lid", "left").select("lid", label.alias("group"), "first", "times")
     return occ, groups
