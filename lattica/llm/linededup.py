@@ -2,12 +2,15 @@
 
 Lines of at least five words (parted by single spaces) are lower-cased and trimmed, tabs and
 carriage returns counting as spaces. Each gets a 64-bit SimHash of its different words. SimHashes at most three bits apart agree in
-two of five blocks, so every pair of blocks is a join key; candidates are verified by edit
-similarity on the normalised lines. Of each connected group of lines the occurrence with the
-smallest ``(doc_id, position)`` stays and the others go.
+two of five blocks, so every pair of blocks is a join key. One changed word moves more bits
+than that in most lines, so each line also has a sketch: its five different words of least
+hash, words of eight characters or more first. Three of these five are a join key, which
+lines that differ in at most two words always share; README has the recall of the rest.
+Candidates are verified by edit similarity on the normalised lines. Of each connected group
+of lines the occurrence with the smallest ``(doc_id, position)`` stays and the others go.
 
 Pairs aren't all made: neighbours in each bucket are linked first, and only buckets that
-still span several groups have the pairs across groups tested, so no link is lost.
+still span several groups have the pairs across groups tested, so no candidate is lost.
 
 Defined cases: null or empty texts, short lines and rows without an id stay as they are;
 rows with equal id count as one document; a text all of whose lines go becomes empty; other
@@ -27,6 +30,8 @@ LANES = 32
 #: First bit and width of each block.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 MAX_BITS = 3
+#: A sketch's words, how many of them make a key, and from which length on a word comes first.
+SKETCH, KEY_WORDS, LONG_WORD = 5, 3, 8
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -37,23 +42,36 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _occurrences(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
-    """``(doc, pos, lid, len, sim)`` of the lines with enough words.
+    """``(doc, pos, lid, len, sim, sketch)`` of the lines with enough words.
 
     Two bit counters share a long; a line has fewer than 2**31 words, so none overflows.
     """
     lines = _lines(docs, id_col, text_col).withColumn("words", F.split("norm", " ")).where(F.size("words") >= min_words)
-    lines = lines.select("doc", "pos", F.unhex(F.md5("norm")).alias("lid"), F.length("norm").alias("len"), F.array_distinct(F.transform("words", lambda w: F.xxhash64(w))).alias("hashes"))
-    tokens = lines.select("doc", "pos", "lid", "len", F.explode("hashes").alias("h"))
+    lines = lines.select("doc", "pos", F.unhex(F.md5("norm")).alias("lid"), F.length("norm").alias("len"), F.array_distinct(F.transform("words", lambda w: F.xxhash64(w))).alias("hashes"), _sketch(F.col("words")).alias("sketch"))
+    tokens = lines.select("doc", "pos", "lid", "len", "sketch", F.explode("hashes").alias("h"))
     pair = F.lit((1 << 32) | 1)
     sums = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(pair)).alias(f"s{i}") for i in range(LANES)]
-    counted = tokens.groupBy("doc", "pos", "lid", "len").agg(F.count(F.lit(1)).alias("nw"), *sums)
+    counted = tokens.groupBy("doc", "pos", "lid", "len", "sketch").agg(F.count(F.lit(1)).alias("nw"), *sums)
     sim = F.lit(0).cast("long")
     for i in range(LANES):
         low, high = F.col(f"s{i}").bitwiseAND(F.lit((1 << 32) - 1)), F.shiftrightunsigned(F.col(f"s{i}"), 32)
         sim = sim.bitwiseOR(F.when(low * 2 > F.col("nw"), F.lit(1 << i)).otherwise(F.lit(0)))
         top = (1 << (i + 32)) if i < 31 else -(1 << 63)
         sim = sim.bitwiseOR(F.when(high * 2 > F.col("nw"), F.lit(top).cast("long")).otherwise(F.lit(0)))
-    return counted.select("doc", "pos", "lid", "len", sim.alias("sim"))
+    return counted.select("doc", "pos", "lid", "len", sim.alias("sim"), "sketch")
+
+
+def _sketch(words: Column) -> Column:
+    """The least hashes of different words; those of long words are negative, so they come first."""
+    high = F.lit(-(1 << 63)).cast("long")
+    ranked = F.transform(words, lambda w: F.when(F.length(w) >= LONG_WORD, F.xxhash64(w).bitwiseOR(high)).otherwise(F.xxhash64(w).bitwiseAND(F.lit((1 << 63) - 1))))
+    return F.slice(F.sort_array(F.array_distinct(ranked)), 1, SKETCH)
+
+
+def _sketch_keys(sketch: Column) -> Column:
+    few = F.when(F.size(sketch) < KEY_WORDS, F.xxhash64(F.get(sketch, F.lit(0)), F.get(sketch, F.lit(1))))
+    some = [F.when(F.size(sketch) > c[-1], F.xxhash64(*[F.get(sketch, F.lit(i)) for i in c])) for c in combinations(range(SKETCH), KEY_WORDS)]
+    return F.array_compact(F.array(few, *some))
 
 
 def _keys(sim: Column) -> Column:
@@ -82,10 +100,36 @@ def _verified(pairs: DataFrame, text: DataFrame, similarity: float) -> DataFrame
     return both.where(F.expr(f"case when {narrow} >= 0 then true else {wide} >= 0 end")).select("a", "b")
 
 
-def line_groups(docs: DataFrame, min_words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Occurrences ``(doc, pos, lid, ...)`` and lines ``(lid, group, first, times)``."""
+def _by_sketch(docs: DataFrame, lines: DataFrame, links: DataFrame, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """``links`` and those between groups that share a sketch key: first of neighbours by length, then of all pairs across groups."""
+    label, by_key = F.coalesce("component", "lid").alias("c"), Window.partitionBy("key")
+    close = lambda n, m: F.least(n, m) >= F.greatest(n, m) * F.lit(similarity) - 1e-9
+    keyed = lines.select("lid", "len", F.explode(_sketch_keys(F.col("sketch"))).alias("key")).repartition("key")
+    order = by_key.orderBy("len", "lid")
+    bucket = keyed.withColumn("m", F.count(F.lit(1)).over(by_key)).where("m > 1").select("key", "lid", "len", F.lag("lid").over(order).alias("prev"), F.lag("len").over(order).alias("n"))
+    bucket = cut(bucket, "lines-sketches")
+    for chained in (True, False):
+        found = cut(components(links), "lines-components")
+        if chained:
+            pairs = bucket.where(F.col("prev").isNotNull() & close(F.col("len"), F.col("n"))).select(F.least("lid", "prev").alias("a"), F.greatest("lid", "prev").alias("b")).distinct()
+            pairs = pairs.join(found.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(found.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+            pairs = pairs.where(F.col("ca").isNull() | F.col("cb").isNull() | (F.col("ca") != F.col("cb"))).select("a", "b")
+        else:
+            known = bucket.join(found.withColumnRenamed("node", "lid"), "lid", "left").select("key", "lid", "len", label)
+            known = known.withColumns({"lo": F.min("c").over(by_key), "hi": F.max("c").over(by_key)}).where("lo <> hi").select("key", "lid", "len", "c")
+            known = cut(known, "lines-known")
+            x, y = known.alias("x"), known.alias("y")
+            pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.lid") < F.col("y.lid")) & (F.col("x.c") != F.col("y.c")) & close(F.col("x.len"), F.col("y.len")))
+            pairs = pairs.select(F.col("x.lid").alias("a"), F.col("y.lid").alias("b")).distinct()
+        pairs = cut(pairs, "lines-sketched")
+        links = cut(links.union(_verified(pairs, _texts(docs, lines, pairs, id_col, text_col), similarity)), "lines-links")
+    return links
+
+
+def line_groups(docs: DataFrame, min_words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", sketches: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Occurrences ``(doc, pos, lid, ...)`` and lines ``(lid, group, first, times)``; without ``sketches`` only SimHashes make candidates."""
     occ = cut(_occurrences(docs, min_words, id_col, text_col), "lines-occurrences")
-    lines = occ.groupBy("lid").agg(F.first("sim").alias("sim"), F.first("len").alias("len"), F.min(F.struct("doc", "pos")).alias("first"), F.count(F.lit(1)).alias("times"))
+    lines = occ.groupBy("lid").agg(F.first("sim").alias("sim"), F.first("sketch").alias("sketch"), F.first("len").alias("len"), F.min(F.struct("doc", "pos")).alias("first"), F.count(F.lit(1)).alias("times"))
     lines = cut(lines, "lines-distinct")
     close = lambda n, m: F.least(n, m) >= F.greatest(n, m) * F.lit(similarity) - 1e-9
 
@@ -127,13 +171,16 @@ def line_groups(docs: DataFrame, min_words: int = 5, similarity: float = 0.8, id
     if not more.isEmpty():
         links = cut(links.union(_verified(more, _texts(docs, lines, more, id_col, text_col), similarity)), "lines-links")
         found = cut(components(links), "lines-components")
+    if sketches:
+        links = _by_sketch(docs, lines, links, similarity, id_col, text_col)
+        found = cut(components(links), "lines-components")
     groups = lines.select("lid", "first", "times").join(found.withColumnRenamed("node", "lid"), "lid", "left").select("lid", label.alias("group"), "first", "times")
     return occ, groups
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the repeated lines gone from its text, and ``n_lines, n_removed long`` appended."""
-    occ, groups = line_groups(docs, min_words, similarity, id_col, text_col)
+    occ, groups = line_groups(docs, min_words, similarity, id_col, text_col, sketches=True)
     groups = cut(groups, "lines-groups")
     heads = groups.groupBy("group").agg(F.min("first").alias("head"), F.sum("times").alias("all")).where("all > 1")
     lines = groups.join(heads, "group").select("lid", "head")
