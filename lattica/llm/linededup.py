@@ -1,9 +1,12 @@
 """Fuzzy line de-duplication with DataFrame functions only.
 
-Lines of at least five words (parted by single spaces) are lower-cased and trimmed, tabs and
-carriage returns counting as spaces. Each gets a 64-bit SimHash of its different words. SimHashes at most three bits apart agree in
+Lines are lower-cased and trimmed, tabs, carriage returns, no-break and ideographic spaces
+counting as spaces. Lines of at least five words (parted by single spaces) are compared by their
+words, others of at least 20 characters by their character 4-grams, and others of at least 10
+characters are removed only if equal; shorter ones stay. Each gets a 64-bit SimHash of its
+different parts. SimHashes at most three bits apart agree in
 two of five blocks, so every pair of blocks is a join key. One changed word moves more bits
-than that in most lines, so each line also has a sketch: its five different words of least
+than that in most lines, so each line also has a sketch: its five different parts of least
 hash, words of eight characters or more first. Three of these five are a join key, which
 lines that differ in at most two words always share; README has the recall of the rest.
 Candidates are verified by edit similarity on the normalised lines. Of each connected group
@@ -12,7 +15,7 @@ of lines the occurrence with the smallest ``(doc_id, position)`` stays and the o
 Pairs aren't all made: neighbours in each bucket are linked first, and only buckets that
 still span several groups have the pairs across groups tested, so no candidate is lost.
 
-Defined cases: null or empty texts, short lines and rows without an id stay as they are;
+Defined cases: null or empty texts, lines of under five words and 10 characters and rows without an id stay as they are;
 rows with equal id count as one document; a text all of whose lines go becomes empty; other
 columns are kept, and one named like an appended column gives way.
 """
@@ -32,21 +35,26 @@ BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 MAX_BITS = 3
 #: A sketch's words, how many of them make a key, and from which length on a word comes first.
 SKETCH, KEY_WORDS, LONG_WORD = 5, 3, 8
+#: Characters of a line with few words: from the first number on equal ones go, from the second on similar ones.
+LEAST_CHARS, GRAM_CHARS, GRAM = 10, 20, 4
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("doc"), F.lower(F.col(text_col).cast("string")).alias("text")).where("doc is not null and text is not null")
-    for blank in "\t\r":
+    for blank in "\t\r\u00a0\u3000":
         rows = rows.withColumn("text", F.replace("text", F.lit(blank), F.lit(" ")))
     return rows.select("doc", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("doc", "pos", F.trim("line").alias("norm"))
 
 
 def _occurrences(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
-    """``(doc, pos, lid, len, sim, sketch)`` of the lines with enough words.
+    """``(doc, pos, lid, len, sim, sketch)`` of the lines with enough words or characters.
 
     Two bit counters share a long; a line has fewer than 2**31 words, so none overflows.
     """
-    lines = _lines(docs, id_col, text_col).withColumn("words", F.split("norm", " ")).where(F.size("words") >= min_words)
+    n = F.length("norm")
+    lines = _lines(docs, id_col, text_col).withColumn("words", F.split("norm", " ")).where((F.size("words") >= min_words) | (n >= LEAST_CHARS))
+    grams = F.transform(F.sequence(F.lit(1), n - (GRAM - 1)), lambda i: F.col("norm").substr(i, F.lit(GRAM)))
+    lines = lines.withColumn("words", F.when(F.size("words") >= min_words, F.col("words")).when(n >= GRAM_CHARS, grams).otherwise(F.array("norm")))
     lines = lines.select("doc", "pos", F.unhex(F.md5("norm")).alias("lid"), F.length("norm").alias("len"), F.array_distinct(F.transform("words", lambda w: F.xxhash64(w))).alias("hashes"), _sketch(F.col("words")).alias("sketch"))
     tokens = lines.select("doc", "pos", "lid", "len", "sketch", F.explode("hashes").alias("h"))
     pair = F.lit((1 << 32) | 1)

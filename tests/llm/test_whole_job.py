@@ -35,3 +35,13 @@ def test_line_dedup_finds_what_is_similar_whatever_its_bits(spark):
     assert all(a // 4 == b // 4 for a, b in combinations(group, 2) if group[a] == group[b])
     few = linededup.dedup_lines(df).where("text <> ''").count()
     assert few == len(set(group.values()))
+
+
+def test_line_dedup_of_lines_with_few_spaces(spark):
+    chinese = "".join(chr(0x4E00 + (i * 37) % 900) for i in range(60))
+    near = chinese[:30] + "变" + chinese[31:]
+    blanks = "one two three four five six seven"
+    rows = [(1, f"{chinese}\nread more here\nok\n{blanks}\n短い行です"), (2, f"{chinese}\nRead more here\nok"), (3, f"{near}\nread more there\n短い行です"), (4, blanks.replace(" ", "\u00a0"))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(df).collect()}
+    assert got == {1: rows[0][1], 2: "ok", 3: "read more there\n短い行です", 4: ""}
