@@ -7,7 +7,7 @@ its context, which also labels code-switched text word by word; a document's lan
 that with the largest expected share of its words.
 
 Training reads at most ``sample_docs`` labelled documents per language (the first
-``sample_chars`` characters of each), cut into sequences some of which join two languages.
+``sample_chars`` characters of each; fewer documents each if there are over 64 languages), cut into sequences some of which join two languages.
 Prediction covers every word of every text.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; with no
@@ -120,8 +120,11 @@ def forward_backward(emissions: np.ndarray, where: np.ndarray, transitions: np.n
     return alpha, counts
 
 
-def train_chain(samples: list[tuple[str, str]], epochs: int = 8, steps: int = 24, length: int = 60, seed: int = 7) -> WordChain:
-    """Fit emissions and transitions by gradient ascent on the likelihood of labelled sequences."""
+def train_chain(samples: list[tuple[str, str]], epochs: int = 8, steps: int = 24, length: int = 60, seed: int = 7, most_pieces: int = 1200) -> WordChain:
+    """Fit emissions and transitions by gradient ascent on the likelihood of labelled sequences.
+
+    At most ``most_pieces`` pieces of ``length // 2`` words of each language are taken, from anywhere in its texts.
+    """
     langs = sorted({lang for lang, _ in samples})
     rng = np.random.default_rng(seed)
     k = len(langs)
@@ -136,10 +139,9 @@ def train_chain(samples: list[tuple[str, str]], epochs: int = 8, steps: int = 24
     for i in range(len(samples)):
         a, b = int(where[i]), int(where[i + 1])
         half = length // 2
-        pieces += [(s, min(s + half, b), label[i]) for s in range(a, min(b, a + 8 * length), half)]
+        pieces += [(s, min(s + half, b), label[i]) for s in range(a, b, half)]
     by_lang = [[p for p in pieces if p[2] == j] for j in range(k)]
-    size = min(1200, min((len(x) for x in by_lang if x), default=0) * 2 + 200)
-    chosen = [x[i] for x in by_lang if x for i in rng.permutation(len(x))[:size]]
+    chosen = [x[i] for x in by_lang if x for i in rng.permutation(len(x))[:most_pieces]]
     chosen = [chosen[i] for i in rng.permutation(len(chosen))]
     # A sequence is two pieces: of one language or, as often as chance has it, of two.
     token = np.concatenate([np.arange(a, b) for a, b, _ in chosen])

@@ -3,7 +3,7 @@
 import random
 from itertools import combinations
 
-from lattica.llm import linededup
+from lattica.llm import langid, linededup
 
 
 def distance(a, b):
@@ -45,3 +45,19 @@ def test_line_dedup_of_lines_with_few_spaces(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(df).collect()}
     assert got == {1: rows[0][1], 2: "ok", 3: "read more there\n短い行です", 4: ""}
+
+
+def test_every_language_is_learned(spark):
+    rng = random.Random(8)
+    lexicon = {f"l{i:02}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)] for i in range(66)}
+    rows = [(i * 10 + j, " ".join(rng.choice(words) for _ in range(30)), lang) for i, (lang, words) in enumerate(lexicon.items()) for j in range(2)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert langid.bounded_sample(df, "lang", "doc_id", 300).select("lang").distinct().count() == 66
+
+
+def test_training_takes_pieces_from_all_of_a_text():
+    first, last = " ".join(["common"] * 600), " ".join(["lateword"] * 600)
+    model = langid.train_chain([("a", f"{first} {last}"), ("b", f"{first} " + " ".join(["otherend"] * 600))])
+    import pyarrow as pa
+
+    assert [x[0] for x in langid.label_texts(model, pa.array([b"lateword lateword", b"otherend otherend"], pa.binary()))] == ["a", "b"]
