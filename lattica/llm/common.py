@@ -49,6 +49,24 @@ def delete_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Bytes of one Arrow batch on its way to or from a Python worker: neither side holds more than a few of them.
+BATCH_BYTES = 4 << 20
+
+
+def map_batches(df: DataFrame, function, schema) -> DataFrame:
+    """``mapInArrow`` in batches bounded by bytes, so long texts don't fill executors; this sets the session's ``maxBytesPerBatch``."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(function, schema)
+
+
+def with_text(docs: DataFrame, keep: tuple, text_col: str) -> tuple[DataFrame, int]:
+    """Columns ``keep`` as ``in_NAME`` for a Python worker, and the place of the text, which is sent once: with them or after them."""
+    sent = [F.col(f"`{c}`").alias(f"in_{c}") for c in keep]
+    if text_col in keep and docs.schema[text_col].dataType.typeName() == "string":
+        return docs.select(*sent), keep.index(text_col)
+    return docs.select(*sent, F.col(f"`{text_col}`").cast("binary").alias("body")), len(keep)
+
+
 def replace_columns(df: DataFrame, new: dict) -> DataFrame:
     """Append columns; a column of the input with the same name gives way."""
     lower = {k.lower() for k in new}

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import replace_columns
+from .common import map_batches, replace_columns
 
 #: Letters, digits and all bytes of non-ASCII characters stay (A-Z lower-cased); the rest separates words.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -104,7 +104,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_
     now = docs.select(*[F.col(f"`{c}`").alias(f"in_{c}") for c in keep], F.col(text_col).cast("binary").alias("body"), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("array<int>").alias("hit_spans"), F.lit(None).cast("array<string>").alias("hit_items"))
     shards = [spark.sparkContext.broadcast(s) for s in _shards(benchmark, item_col, item_text)] or [spark.sparkContext.broadcast([])]
     for shard in shards:
-        now = now.mapInArrow(_searcher(shard, window), now.schema)
+        now = map_batches(now, _searcher(shard, window), now.schema)
     back = now.select(*[F.col(f"in_{c}").alias(c) for c in keep], F.col("n_words").alias("__n"), F.coalesce("hit_spans", F.array().cast("array<int>")).alias("__s"), F.coalesce("hit_items", F.array().cast("array<string>")).alias("__i"))
     return replace_columns(back, {"n_words": F.col("__n"), "hit_spans": F.col("__s"), "hit_items": F.col("__i")}).drop("__n", "__s", "__i")
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, forget
+from .common import components, cut, forget, map_batches
 from .textnp import IdFilter, id_filter, shingle_sets
 
 SKETCH_BITS, SLICES = 22, 64
@@ -47,7 +47,7 @@ def _survey(k: int):
     """Per text its set's size and digest; per task the counts of shingle classes."""
 
     def survey(batches):
-        counts = np.zeros(1 << SKETCH_BITS, np.int64)
+        counts = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
             sizes, digests, pending = [], [], []
             for _, found in shingle_sets(batch.column("body"), k):
@@ -57,11 +57,11 @@ def _survey(k: int):
                 digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
             if pending:
                 at, times = np.unique(np.concatenate(pending), return_counts=True)
-                counts[at.astype(np.int64)] += times
+                counts[at.astype(np.int64)] += times.astype(np.uint32)
             m = batch.num_rows
             yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=_SURVEY)
         if counts.any():
-            blobs = [zlib.compress(c.tobytes(), 1) for c in counts.astype(np.uint32).reshape(SLICES, -1)]
+            blobs = [zlib.compress(c.tobytes(), 1) for c in counts.reshape(SLICES, -1)]
             yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array(blobs, pa.binary())], names=_SURVEY)
 
     return survey
@@ -82,8 +82,8 @@ def _add_counts(batches):
 def _classes(survey: DataFrame):
     """Broadcast class of each sketch bucket (4 MB): 0 rare, else the logarithm of how far it is above chance."""
     counts = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.int64)
-    summed = survey.where("slice is not null").select("slice", "blob").repartition(SLICES, "slice").mapInArrow(_add_counts, "slice int, blob binary")
-    for row in summed.toLocalIterator():
+    dealt = survey.where("slice is not null").select("slice", "blob").repartition(SLICES, "slice")
+    for row in map_batches(dealt, _add_counts, "slice int, blob binary").toLocalIterator():
         counts[row["slice"]] = np.frombuffer(row["blob"], np.int64)
     counts = counts.ravel()
     mean = counts.mean()
@@ -199,24 +199,26 @@ def _verify(texts: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
     for whole in (False, True):
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
         chosen = id_filter(ids, "id", pairs.count() * 2)
-        data = texts.mapInArrow(_chosen(k, chosen, whole), "id long, n int, data binary")
+        data = map_batches(texts, _chosen(k, chosen, whole), "id long, n int, data binary")
         side = lambda s: data.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("data").alias("left" if s == "a" else "right"))  # noqa: B023, E731
         joined = pairs.join(side("a"), "a").join(side("b"), "b")
-        pairs = cut(joined.mapInArrow(_tested(percent, whole), "a long, b long"), "jaccard-pairs")
+        pairs = cut(map_batches(joined, _tested(percent, whole), "a long, b long"), "jaccard-pairs")
+        chosen.destroy()
     return pairs
 
 
 def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: ``id, n_shingles long, component long`` (smallest id reachable by links)."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("body"))
-    survey = cut(texts.mapInArrow(_survey(k), "id long, n long, digest binary, slice int, blob binary"), "jaccard-survey")
+    survey = cut(map_batches(texts, _survey(k), "id long, n long, digest binary, slice int, blob binary"), "jaccard-survey")
     rows = survey.where("slice is null").select("id", "n", "digest")
     classes = _classes(survey)
-    keys = texts.mapInArrow(_index(k, percent, classes), "key long, id long, n int, rest int")
+    keys = map_batches(texts, _index(k, percent, classes), "key long, id long, n int, rest int")
     order = Window.partitionBy("key").orderBy(F.desc(F.col("rest") / F.col("n")), "id")
     run = keys.repartition("key").withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("m > 1")
     run = run.select("key", "id", "n", "rest", F.first(F.struct("id", "n", "rest")).over(order).alias("p"))
     index = cut(run, "jaccard-index")
+    classes.destroy()
 
     fits = lambda n, m, r, s: F.least(r, s) * (100 + percent) >= (n + m) * percent
     # In copies of one text, that with the fewest shingles of its own is nearest to the others.

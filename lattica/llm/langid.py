@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import replace_columns
+from .common import map_batches, replace_columns, with_text
 from .sampling import bounded_sample, fold
 from .textnp import mix64, slices, words
 
@@ -212,29 +212,32 @@ def fit(docs: DataFrame, held_out: int | None = 2, folds: int = 4, sample_docs:
     return train_chain([(lang, text) for lang, _, text in got])
 
 
-def identify(docs: DataFrame, model: WordChain, text_col: str = "text", keep: tuple | None = None) -> DataFrame:
-    """``docs`` (or its columns ``keep``) with ``lang_pred`` and ``score`` appended."""
-    keep = tuple(docs.columns) if keep is None else keep
+def _labelled(docs: DataFrame, model: WordChain, text_col: str, keep: tuple) -> DataFrame:
+    """``in_NAME`` of the columns ``keep``, ``p_lang`` and ``p_score``."""
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.weights, model.transitions))
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"in_{c}") for c in keep], F.col(text_col).cast("binary").alias("body"))
+    rows, at = with_text(docs, keep, text_col)
 
     def label(batches):
         chain = WordChain(*shared.value)
         for batch in batches:
-            got = list(label_texts(chain, batch.column(batch.num_columns - 1)))
-            columns = [*batch.columns[:-1], pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "p_lang", "p_score"])
+            got = list(label_texts(chain, batch.column(at)))
+            columns = [*batch.columns[: len(keep)], pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[: len(keep)], "p_lang", "p_score"])
 
     schema = rows.drop("body").withColumn("p_lang", F.lit("")).withColumn("p_score", F.lit(0.0)).schema
     for f in schema:
         f.nullable = True
-    done = rows.mapInArrow(label, schema).select(*[F.col(f"in_{c}").alias(c) for c in keep], "p_lang", "p_score")
+    return map_batches(rows, label, schema)
+
+
+def identify(docs: DataFrame, model: WordChain, text_col: str = "text", keep: tuple | None = None) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with ``lang_pred`` and ``score`` appended."""
+    keep = tuple(docs.columns) if keep is None else keep
+    done = _labelled(docs, model, text_col, keep).select(*[F.col(f"`in_{c}`").alias(c) for c in keep], "p_lang", "p_score")
     return replace_columns(done, {"lang_pred": F.col("p_lang"), "score": F.col("p_score")}).drop("p_lang", "p_score")
 
 
 def keep_identified(docs: DataFrame, min_score: float = 0.3) -> DataFrame:
     """The rows of ``docs`` whose language is known with at least ``min_score``, with their columns."""
-    model = fit(docs, held_out=None)
-    cols = docs.columns
-    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), F.col("text"))
-    return identify(marked, model, keep=("row",)).where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select("row.*")
+    done = _labelled(docs, fit(docs, held_out=None), "text", tuple(docs.columns))
+    return done.where((F.col("p_lang") != "und") & (F.col("p_score") >= min_score)).select(*[F.col(f"`in_{c}`").alias(c) for c in docs.columns])

@@ -23,7 +23,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, map_batches
 
 K = 8
 LEAF, BLOCK = 64, 512
@@ -134,13 +134,13 @@ def _nearest(edges: DataFrame) -> DataFrame:
 
 
 def _grow(classes: DataFrame, seed: int) -> DataFrame:
-    leaf = classes.select("cid", "grp", "bits", "vec").mapInArrow(_leaves(seed), "cid long, grp long, tree int, code long, vec array<float>")
+    leaf = map_batches(classes.select("cid", "grp", "bits", "vec"), _leaves(seed), "cid long, grp long, tree int, code long, vec array<float>")
     keys = ("grp", "tree", "code")
     # Large leaves are worked on in blocks; the salt deals them over tasks as well.
     hot = leaf.groupBy(*keys).agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 4 * BLOCK).withColumn("parts", F.ceil(F.col("m") / (4 * BLOCK)))
     leaf = leaf.join(hot.select(*keys, "parts"), list(keys), "left").withColumn("salt", F.pmod(F.xxhash64("cid"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
     leaf = leaf.repartition(*keys, "salt").sortWithinPartitions(*keys, "salt", "cid")
-    return leaf.mapInArrow(_neighbours((*keys, "salt")), "u long, v long, sim double")
+    return map_batches(leaf, _neighbours((*keys, "salt")), "u long, v long, sim double")
 
 
 def _descend(classes: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
@@ -150,7 +150,7 @@ def _descend(classes: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
         member = edges.select(F.col("v").alias("center"), F.col("u").alias("cid")).union(edges.select(F.col("u").alias("center"), F.col("v").alias("cid"))).distinct()
         known = classes.select("cid", "vec").join(floor.withColumnRenamed("u", "cid"), "cid", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))
         local = member.join(known, "cid").repartition("center").sortWithinPartitions("center", "cid")
-        found = local.mapInArrow(_neighbours(("center",)), "u long, v long, sim double")
+        found = map_batches(local, _neighbours(("center",)), "u long, v long, sim double")
         after = cut(_nearest(edges.union(found)), "descent-lists")
         changed = after.join(edges, ["u", "v"], "left_anti").count()
         edges = after
@@ -184,7 +184,7 @@ def _complete(classes: DataFrame, found: DataFrame, threshold: float) -> DataFra
     rows = rows.join(classes.select("cid", "vec", "times"), "cid").withColumn("x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select(F.col("component").alias("comp"), F.least("part", "x").alias("i"), F.greatest("part", "x").alias("j"), "cid", "part", "times", "vec")
     rows = rows.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")
-    return rows.mapInArrow(_count_links(threshold), "cid long, links long").groupBy("cid").agg(F.sum("links").alias("links"))
+    return map_batches(rows, _count_links(threshold), "cid long, links long").groupBy("cid").agg(F.sum("links").alias("links"))
 
 
 def _audit(classes: DataFrame, links: DataFrame, threshold: float) -> float:
@@ -207,7 +207,7 @@ def _audit(classes: DataFrame, links: DataFrame, threshold: float) -> float:
                     near = (q @ _unit(vec.take(pa.array(rows))).T >= threshold) & (qid[:, None] != ids[rows][None])
                     yield pa.RecordBatch.from_arrays([pa.array(qid), pa.array((near @ times[rows]).astype(np.int64))], names=["cid", "links"])
 
-    true = classes.mapInArrow(brute, "cid long, links long").groupBy("cid").agg(F.sum("links").alias("all"))
+    true = map_batches(classes, brute, "cid long, links long").groupBy("cid").agg(F.sum("links").alias("all"))
     got = true.join(links, "cid", "left").agg(F.sum("all").alias("a"), F.sum(F.least("all", F.coalesce("links", F.lit(0)))).alias("g")).first()
     return got["g"] / got["a"] if got["a"] else 1.0
 

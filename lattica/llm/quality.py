@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import replace_columns
+from .common import map_batches, replace_columns, with_text
 from .sampling import bounded_sample, fold
 from .textnp import slices, words
 
@@ -177,16 +177,16 @@ def score(docs: DataFrame, scorer: Scorer, text_col: str = "text", keep: tuple |
     """``docs`` (or its columns ``keep``) with ``score double`` and ``predicted int`` appended."""
     keep = tuple(docs.columns) if keep is None else keep
     shared = docs.sparkSession.sparkContext.broadcast((scorer.cuts, scorer.weights, scorer.bias))
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"in_{c}") for c in keep], F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"))
+    rows, at = with_text(docs, keep, text_col)
 
     def run(batches):
         own = Scorer(*shared.value)
         for batch in batches:
-            got = np.concatenate([np.zeros(0), *(own.scores(x) for x in measures(batch.column(batch.num_columns - 1)))])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(got, pa.float64())], names=[*batch.schema.names[:-1], "p_score"])
+            got = np.concatenate([np.zeros(0), *(own.scores(x) for x in measures(batch.column(at)))])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(got, pa.float64())], names=[*batch.schema.names[: len(keep)], "p_score"])
 
     schema = rows.drop("body").withColumn("p_score", F.lit(0.0)).schema
     for f in schema:
         f.nullable = True
-    done = rows.mapInArrow(run, schema).select(*[F.col(f"in_{c}").alias(c) for c in keep], "p_score")
+    done = map_batches(rows, run, schema).select(*[F.col(f"in_{c}").alias(c) for c in keep], "p_score")
     return replace_columns(done, {"score": F.col("p_score"), "predicted": (F.col("p_score") >= 0.5).cast("int")}).drop("p_score")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, forget
+from .common import cut, forget, map_batches
 from .suffixes import repeated_starts
 from .textnp import IdFilter, id_filter, mix64, slices
 
@@ -230,13 +230,13 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     # Rows are known by id and text; equal rows get equal results.
     keyed = texts.select("id", F.coalesce("id", F.lit(-1)).alias("doc"), F.xxhash64("id", "body").alias("key"), "body")
     long_ = keyed.where(F.length("body") >= length).select("doc", "key", "body")
-    prints = cut(long_.select("body").mapInArrow(_prints(length), "fp long, times long").groupBy("fp").agg(F.sum("times").alias("times")).where("times > 1").select("fp"), "repeats-prints")
+    prints = cut(map_batches(long_.select("body"), _prints(length), "fp long, times long").groupBy("fp").agg(F.sum("times").alias("times")).where("times > 1").select("fp"), "repeats-prints")
     chosen = id_filter(prints, "fp", 4 * prints.count())
-    runs = cut(long_.mapInArrow(_runs(length, chosen), _RUN_SCHEMA), "repeats-runs")
+    runs = cut(map_batches(long_, _runs(length, chosen), _RUN_SCHEMA), "repeats-runs")
     forget(prints)
     shards = runs.where("fp is not null").repartition("fp").sortWithinPartitions("fp")
-    found = shards.mapInArrow(_sorted_shards(length), "doc long, key long, lo long, hi long")
+    found = map_batches(shards, _sorted_shards(length), "doc long, key long, lo long, hi long")
     known = runs.where("fp is null").select("doc", "key", F.col("start").alias("lo"), (F.col("start") + F.col("starts")).alias("hi"))
     found = found.union(known).groupBy("doc", "key").agg(F.collect_set(F.struct("lo", "hi")).alias("found"))
     joined = keyed.join(found, ["doc", "key"], "left").select("id", "body", "found")
-    return joined.mapInArrow(_cleaned(length), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return map_batches(joined, _cleaned(length), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

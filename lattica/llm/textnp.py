@@ -7,8 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from .common import map_batches
+
 #: Bytes of text worked on at once (a longer text is worked on alone).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -123,11 +125,11 @@ def id_filter(ids, column: str, count: int):
     bits = min(IdFilter.MAX_BITS, max(16, (16 * max(1, count)).bit_length()))
 
     def local(batches):
-        table = np.zeros(1 << bits, bool)
+        packed = np.zeros(1 << (bits - 3), np.uint8)
         for batch in batches:
             got = batch.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            table[(mix64(got) >> np.uint64(64 - bits)).astype(np.int64)] = True
-        packed = np.packbits(table, bitorder="little")
+            at = mix64(got) >> np.uint64(64 - bits)
+            np.bitwise_or.at(packed, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
         step = min(len(packed), 1 << 15)
         blocks = packed.reshape(-1, step)
         used = np.flatnonzero(blocks.any(axis=1))
@@ -142,7 +144,7 @@ def id_filter(ids, column: str, count: int):
         yield pa.RecordBatch.from_arrays([pa.array(list(tables), pa.int32()), pa.array([t.tobytes() for t in tables.values()], pa.binary())], names=["block", "table"])
 
     schema = "block int, table binary"
-    merged = ids.select(column).mapInArrow(local, schema).repartition("block").mapInArrow(merge, schema)
+    merged = map_batches(map_batches(ids.select(column), local, schema).repartition("block"), merge, schema)
     step = min(1 << (bits - 3), 1 << 15)
     table = bytearray(1 << (bits - 3))
     for row in merged.toLocalIterator():  # the table has a fixed size

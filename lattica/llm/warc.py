@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import map_batches, new_path
 
 SEGMENT_BYTES = 16 << 10
 CHUNK_BYTES = 4 << 10
@@ -121,7 +121,7 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0, segm
                     out, size = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
-    written = rows.mapInArrow(write, "record binary").select(F.col("record").cast("string"))
+    written = map_batches(rows, write, "record binary").select(F.col("record").cast("string"))
     written.write.option("compression", "gzip").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
@@ -239,10 +239,10 @@ def _joined(batches):
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """``page_id, payload_bytes, payload_digest, record_type, refers_to`` of each archived page."""
-    records = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content").mapInArrow(_parsed, _SCHEMA)
+    records = map_batches(spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content"), _parsed, _SCHEMA)
     # The number of segments of one record is bounded by its own length.
     parts = records.where("segment is not null").groupBy("origin").agg(F.collect_list(F.struct("segment", "total", "record_id", "page_id", "digest", "block")).alias("parts"))
-    whole = records.where("segment is null and type = 'response'").union(parts.mapInArrow(_joined, _SCHEMA)).select("record_id", "page_id", "payload_bytes", "digest")
+    whole = records.where("segment is null and type = 'response'").union(map_batches(parts, _joined, _SCHEMA)).select("record_id", "page_id", "payload_bytes", "digest")
     revisits = records.where("type = 'revisit'").select("page_id", "refers_to", "digest")
     targets = whole.join(revisits.select(F.col("refers_to").alias("record_id")).distinct(), "record_id", "left_semi").dropDuplicates(["record_id"])
     targets = targets.select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("target"), "payload_bytes", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
