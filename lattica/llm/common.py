@@ -26,11 +26,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+FILES_PER_CORE = 3
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lost executors cost a reread, not the lineage."""
+    """Write ``df`` as a table in the shared folder and read it back: lost executors cost a reread, not the lineage.
+
+    The files are a few for each core of the cluster, not one for each shuffle partition; a task works on its partitions one by one.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.coalesce(FILES_PER_CORE * spark.sparkContext.defaultParallelism).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out

@@ -3,17 +3,20 @@
 Lines are lower-cased and trimmed, tabs, carriage returns, no-break and ideographic spaces
 counting as spaces. Lines of at least five words (parted by single spaces) are compared by their
 words, others of at least 20 characters by their character 4-grams, and others of at least 10
-characters are removed only if equal; shorter ones stay. Each gets a 64-bit SimHash of its
+characters are removed only if equal; shorter ones stay. Each gets a 63-bit SimHash of its
 different parts. SimHashes at most three bits apart agree in
-two of five blocks, so every pair of blocks is a join key. One changed word moves more bits
+two of five blocks, so every pair of blocks (with the magnitude of the line's length) is a join
+key. One changed word moves more bits
 than that in most lines, so each line also has a sketch: its five different parts of least
 hash, words of eight characters or more first. Three of these five are a join key, which
 lines that differ in at most two words always share; README has the recall of the rest.
 Candidates are verified by edit similarity on the normalised lines. Of each connected group
 of lines the occurrence with the smallest ``(doc_id, position)`` stays and the others go.
 
-Pairs aren't all made: neighbours in each bucket are linked first, and only buckets that
-still span several groups have the pairs across groups tested, so no candidate is lost.
+Pairs aren't all made: neighbours by length in each bucket are linked first, and only buckets
+that still span several groups have the pairs across groups tested, so no candidate is lost.
+A line is known by two 64-bit hashes; in graphs by one of them, which lines with an equal
+first hash don't share.
 
 Defined cases: null or empty texts, lines of under five words and 10 characters and rows without an id stay as they are;
 rows with equal id count as one document; a text all of whose lines go becomes empty; other
@@ -29,174 +32,203 @@ from pyspark.sql import functions as F
 
 from .common import components, cut, forget, replace_columns
 
-LANES = 32
-#: First bit and width of each block.
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+#: First bit and width of each block of a SimHash.
+BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 11))
 MAX_BITS = 3
 #: A sketch's words, how many of them make a key, and from which length on a word comes first.
 SKETCH, KEY_WORDS, LONG_WORD = 5, 3, 8
 #: Characters of a line with few words: from the first number on equal ones go, from the second on similar ones.
 LEAST_CHARS, GRAM_CHARS, GRAM = 10, 20, 4
+#: Shares of a line's length within which edits are looked for, before the whole allowance.
+BANDS = (0.01, 0.05)
+_TOP = -(1 << 63)
+
+
+def _normal(text: Column) -> Column:
+    text = F.lower(text)
+    for blank in "\t\r 　":
+        text = F.replace(text, F.lit(blank), F.lit(" "))
+    return text
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    rows = docs.select(F.col(id_col).alias("doc"), F.lower(F.col(text_col).cast("string")).alias("text")).where("doc is not null and text is not null")
-    for blank in "\t\r\u00a0\u3000":
-        rows = rows.withColumn("text", F.replace("text", F.lit(blank), F.lit(" ")))
-    return rows.select("doc", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("doc", "pos", F.trim("line").alias("norm"))
+    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null and text is not null")
+    return rows.select("doc", F.posexplode(F.split(_normal(F.col("text")), "\n")).alias("pos", "line")).select("doc", "pos", F.trim("line").alias("norm"))
 
 
-def _occurrences(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
-    """``(doc, pos, lid, len, sim, sketch)`` of the lines with enough words or characters.
+def _counted(hashes: Column, lanes: int) -> Column:
+    """SimHash of fewer than ``2 ** (63 // lanes - 1)`` hashes: ``lanes`` bit counters share a long.
 
-    Two bit counters share a long; a line has fewer than 2**31 words, so none overflows.
+    Counters start so far below half their range that the topmost bit tells a majority.
     """
+    width = 63 // lanes
+    ones = sum(1 << (width * j) for j in range(lanes))
+    below = (F.lit((1 << (width - 1)) - 1) - F.floor(F.size(hashes) / 2)) * F.lit(ones)
+    start = F.struct(*[below.cast("long").alias(f"c{i}") for i in range(width)])
+    add = lambda a, h: F.struct(*[(a[f"c{i}"] + F.shiftrightunsigned(h, i).bitwiseAND(F.lit(ones))).alias(f"c{i}") for i in range(width)])
+
+    def bits(a: Column) -> Column:
+        sim = F.lit(0).cast("long")
+        for i in range(width):
+            sim = sim.bitwiseOR(F.shiftrightunsigned(a[f"c{i}"], width - 1 - i).bitwiseAND(F.lit(ones << i)))
+        return sim
+
+    return F.aggregate(hashes, start, add, bits)
+
+
+def _simhash(hashes: Column) -> Column:
+    n = F.size(hashes)
+    return F.when(n < 1 << 8, _counted(hashes, 7)).when(n < 1 << 20, _counted(hashes, 3)).otherwise(_counted(hashes, 1))
+
+
+def _occurrences(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
+    """``(doc, pos, h1, h2, len, sim, s1, ..., s5)`` of the lines with enough words or characters."""
     n = F.length("norm")
     lines = _lines(docs, id_col, text_col).withColumn("words", F.split("norm", " ")).where((F.size("words") >= min_words) | (n >= LEAST_CHARS))
     grams = F.transform(F.sequence(F.lit(1), n - (GRAM - 1)), lambda i: F.col("norm").substr(i, F.lit(GRAM)))
     lines = lines.withColumn("words", F.when(F.size("words") >= min_words, F.col("words")).when(n >= GRAM_CHARS, grams).otherwise(F.array("norm")))
-    lines = lines.select("doc", "pos", F.unhex(F.md5("norm")).alias("lid"), F.length("norm").alias("len"), F.array_distinct(F.transform("words", lambda w: F.xxhash64(w))).alias("hashes"), _sketch(F.col("words")).alias("sketch"))
-    tokens = lines.select("doc", "pos", "lid", "len", "sketch", F.explode("hashes").alias("h"))
-    pair = F.lit((1 << 32) | 1)
-    sums = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(pair)).alias(f"s{i}") for i in range(LANES)]
-    counted = tokens.groupBy("doc", "pos", "lid", "len", "sketch").agg(F.count(F.lit(1)).alias("nw"), *sums)
-    sim = F.lit(0).cast("long")
-    for i in range(LANES):
-        low, high = F.col(f"s{i}").bitwiseAND(F.lit((1 << 32) - 1)), F.shiftrightunsigned(F.col(f"s{i}"), 32)
-        sim = sim.bitwiseOR(F.when(low * 2 > F.col("nw"), F.lit(1 << i)).otherwise(F.lit(0)))
-        top = (1 << (i + 32)) if i < 31 else -(1 << 63)
-        sim = sim.bitwiseOR(F.when(high * 2 > F.col("nw"), F.lit(top).cast("long")).otherwise(F.lit(0)))
-    return counted.select("doc", "pos", "lid", "len", sim.alias("sim"), "sketch")
-
-
-def _sketch(words: Column) -> Column:
-    """The least hashes of different words; those of long words are negative, so they come first."""
-    high = F.lit(-(1 << 63)).cast("long")
-    ranked = F.transform(words, lambda w: F.when(F.length(w) >= LONG_WORD, F.xxhash64(w).bitwiseOR(high)).otherwise(F.xxhash64(w).bitwiseAND(F.lit((1 << 63) - 1))))
-    return F.slice(F.sort_array(F.array_distinct(ranked)), 1, SKETCH)
-
-
-def _sketch_keys(sketch: Column) -> Column:
-    few = F.when(F.size(sketch) < KEY_WORDS, F.xxhash64(F.get(sketch, F.lit(0)), F.get(sketch, F.lit(1))))
-    some = [F.when(F.size(sketch) > c[-1], F.xxhash64(*[F.get(sketch, F.lit(i)) for i in c])) for c in combinations(range(SKETCH), KEY_WORDS)]
-    return F.array_compact(F.array(few, *some))
+    # The hash of a long word has its topmost bit, so it comes first; SimHashes are of the other bits.
+    low = F.lit((1 << 63) - 1)
+    ranked = F.transform("words", lambda w: F.when(F.length(w) >= LONG_WORD, F.xxhash64(w).bitwiseOR(F.lit(_TOP).cast("long"))).otherwise(F.xxhash64(w).bitwiseAND(low)))
+    lines = lines.select("doc", "pos", F.xxhash64("norm").alias("h1"), F.xxhash64("norm", F.lit("other")).alias("h2"), n.alias("len"), F.sort_array(F.array_distinct(ranked)).alias("hashes"))
+    return lines.select("doc", "pos", "h1", "h2", "len", _simhash(F.col("hashes")).alias("sim"), *[F.get("hashes", F.lit(i)).alias(f"s{i + 1}") for i in range(SKETCH)])
 
 
-def _keys(sim: Column) -> Column:
+def _distinct(occ: DataFrame) -> DataFrame:
+    """Lines with ``node``, the number that stands for the line, ``times`` and one place where it occurs."""
+    same = [F.max(c).alias(c) for c in ("len", "sim", *[f"s{i + 1}" for i in range(SKETCH)])]
+    lines = occ.repartition("h1").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times"), F.min("doc").alias("at_doc"), F.min_by("pos", "doc").alias("at_pos"), *same)
+    least = F.min("h2").over(Window.partitionBy("h1"))
+    return lines.withColumn("node", F.when(F.col("h2") == least, F.col("h1")).otherwise(F.col("h2")))
+
+
+def _sim_keys(sim: Column, length: Column, similarity: float) -> Column:
+    """Pairs of blocks with the length's power of two, or both if a similar line may have the next."""
     block = [F.shiftrightunsigned(sim, at).bitwiseAND(F.lit((1 << width) - 1)) for at, width in BLOCKS]
-    return F.array(*[(F.shiftleft(block[i], 13).bitwiseOR(block[j]) + F.lit(n << 26)).cast("int") for n, (i, j) in enumerate(combinations(range(len(BLOCKS)), 2))])
+    pairs = [F.shiftleft(block[i], 13).bitwiseOR(block[j]) + F.lit(n << 26) for n, (i, j) in enumerate(combinations(range(len(BLOCKS)), 2))]
+    power = lambda x: F.floor(F.log2(x + F.lit(1e-9))).cast("long")
+    at = lambda p: F.array(*[x + F.shiftleft(p, 32) for x in pairs])
+    mine, next_ = power(F.greatest(length, F.lit(1))), power(F.greatest(length, F.lit(1)) / similarity)
+    return F.when(mine == next_, at(mine)).otherwise(F.concat(at(mine), at(next_)))
+
+
+def _sketch_keys() -> Column:
+    """Negative keys: of every three of the sketch, or of all of a sketch of fewer."""
+    word = [F.col(f"s{i + 1}") for i in range(SKETCH)]
+    key = lambda *c: F.xxhash64(*c).bitwiseOR(F.lit(_TOP).cast("long"))
+    few = F.when(word[KEY_WORDS - 1].isNull(), key(*word[: KEY_WORDS - 1]))
+    some = [F.when(word[c[-1]].isNotNull(), key(*[word[i] for i in c])) for c in combinations(range(SKETCH), KEY_WORDS)]
+    return F.array_compact(F.array(few, *some))
 
 
-def _texts(docs: DataFrame, lines: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(lid, norm)`` of the lines in ``pairs``, read where each occurs first."""
-    asked = pairs.select(F.col("a").alias("lid")).union(pairs.select(F.col("b").alias("lid"))).distinct()
-    places = cut(lines.join(asked, "lid", "left_semi").select("lid", F.col("first.doc").alias("at_doc"), F.col("first.pos").alias("at_pos")), "lines-places")
-    some = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(places.select(F.col("at_doc").alias("doc")).distinct(), "doc", "left_semi")
-    read = _lines(some, "doc", "text")
+def _close(n, m, similarity: float) -> Column:
+    return F.least(n, m) >= F.greatest(n, m) * F.lit(similarity) - 1e-9
+
+
+def _near(key, x, y) -> Column:
+    """Keys of sketches are enough; those of blocks need SimHashes that are near."""
+    return (key < 0) | (F.bit_count(x.bitwiseXOR(y)) <= MAX_BITS)
+
+
+def _buckets(lines: DataFrame, similarity: float, sketches: bool) -> DataFrame:
+    """``(key, node, len, sim)`` of the lines with a neighbour by length in a bucket, and the one before."""
+    keys = _sim_keys(F.col("sim"), F.col("len"), similarity)
+    keyed = lines.select("node", "len", "sim", F.explode(F.concat(keys, _sketch_keys()) if sketches else keys).alias("key")).repartition("key")
+    order = Window.partitionBy("key").orderBy("len", "node")
+    there = F.struct("node", "len", "sim")
+    rows = keyed.select("key", "node", "len", "sim", F.lag(there).over(order).alias("prev"), F.lead("len").over(order).alias("next"))
+    # By length, whoever has a close partner at all has one beside it.
+    before = F.coalesce(_close(F.col("len"), F.col("prev.len"), similarity), F.lit(False))
+    after = F.coalesce(_close(F.col("len"), F.col("next"), similarity), F.lit(False))
+    return rows.where(before | after).select("key", "node", "len", "sim", F.when(before & _near(F.col("key"), F.col("sim"), F.col("prev.sim")), F.col("prev.node")).alias("prev"))
+
+
+def _texts(docs: DataFrame, lines: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(node, norm)`` of the lines in ``nodes``, each read at one place where it occurs."""
+    place = F.struct("node", "h1", "h2", "at_pos")
+    asked = lines.join(nodes, "node", "left_semi").groupBy(F.col("at_doc").alias("doc")).agg(F.collect_list(place).alias("places"))
+    whole = docs.select(F.col(id_col).alias("doc"), F.split(F.col(text_col).cast("string"), "\n").alias("parts")).where("parts is not null")
+    read = whole.join(asked, "doc").select(F.explode(F.transform("places", lambda p: F.struct(p["node"].alias("node"), p["h1"].alias("h1"), p["h2"].alias("h2"), F.get("parts", p["at_pos"]).alias("line")))).alias("p"))
+    read = read.select("p.node", "p.h1", "p.h2", F.trim(_normal(F.col("p.line"))).alias("norm"))
     # Rows of equal id may differ in text, so the line itself decides.
-    same = (F.col("doc") == F.col("at_doc")) & (F.col("pos") == F.col("at_pos"))
-    texts = read.join(places, same).where(F.unhex(F.md5("norm")) == F.col("lid")).select("lid", "norm")
-    return cut(texts.dropDuplicates(["lid"]), "lines-text")
+    return read.where((F.xxhash64("norm") == F.col("h1")) & (F.xxhash64("norm", F.lit("other")) == F.col("h2"))).select("node", "norm")
 
 
 def _verified(pairs: DataFrame, text: DataFrame, similarity: float) -> DataFrame:
     """Those pairs ``(a, b)`` of lines whose edit similarity is enough."""
-    both = pairs.join(text.select(F.col("lid").alias("a"), F.col("norm").alias("x")), "a").join(text.select(F.col("lid").alias("b"), F.col("norm").alias("y")), "b")
-    most = "cast(floor(greatest(length(x), length(y)) * {} + 1e-9) as int)".format
+    side = lambda node, norm: text.select(F.col("node").alias(node), F.col("norm").alias(norm))
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    within = lambda share: F.expr(f"levenshtein(x, y, cast(floor(greatest(length(x), length(y)) * {share!r} + 1e-9) as int)) >= 0")
     # Most similar lines are very similar, which a narrow band shows at less cost.
-    narrow, wide = f"levenshtein(x, y, {most(0.04)})", f"levenshtein(x, y, {most(repr(round(1 - similarity, 9)))})"
-    return both.where(F.expr(f"case when {narrow} >= 0 then true else {wide} >= 0 end")).select("a", "b")
-
-
-def _by_sketch(docs: DataFrame, lines: DataFrame, links: DataFrame, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """``links`` and those between groups that share a sketch key: first of neighbours by length, then of all pairs across groups."""
-    label, by_key = F.coalesce("component", "lid").alias("c"), Window.partitionBy("key")
-    close = lambda n, m: F.least(n, m) >= F.greatest(n, m) * F.lit(similarity) - 1e-9
-    keyed = lines.select("lid", "len", F.explode(_sketch_keys(F.col("sketch"))).alias("key")).repartition("key")
-    order = by_key.orderBy("len", "lid")
-    bucket = keyed.withColumn("m", F.count(F.lit(1)).over(by_key)).where("m > 1").select("key", "lid", "len", F.lag("lid").over(order).alias("prev"), F.lag("len").over(order).alias("n"))
-    bucket = cut(bucket, "lines-sketches")
-    for chained in (True, False):
-        found = cut(components(links), "lines-components")
-        if chained:
-            pairs = bucket.where(F.col("prev").isNotNull() & close(F.col("len"), F.col("n"))).select(F.least("lid", "prev").alias("a"), F.greatest("lid", "prev").alias("b")).distinct()
-            pairs = pairs.join(found.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(found.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-            pairs = pairs.where(F.col("ca").isNull() | F.col("cb").isNull() | (F.col("ca") != F.col("cb"))).select("a", "b")
-        else:
-            known = bucket.join(found.withColumnRenamed("node", "lid"), "lid", "left").select("key", "lid", "len", label)
-            known = known.withColumns({"lo": F.min("c").over(by_key), "hi": F.max("c").over(by_key)}).where("lo <> hi").select("key", "lid", "len", "c")
-            known = cut(known, "lines-known")
-            x, y = known.alias("x"), known.alias("y")
-            pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.lid") < F.col("y.lid")) & (F.col("x.c") != F.col("y.c")) & close(F.col("x.len"), F.col("y.len")))
-            pairs = pairs.select(F.col("x.lid").alias("a"), F.col("y.lid").alias("b")).distinct()
-        pairs = cut(pairs, "lines-sketched")
-        links = cut(links.union(_verified(pairs, _texts(docs, lines, pairs, id_col, text_col), similarity)), "lines-links")
-    return links
+    test = within(round(1 - similarity, 9))
+    for share in sorted(BANDS, reverse=True):
+        test = F.when(within(share), True).otherwise(test) if share < 1 - similarity else test
+    # Rows of equal id and text may give a line twice.
+    return both.where(test).select("a", "b").distinct()
 
 
-def line_groups(docs: DataFrame, min_words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", sketches: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Occurrences ``(doc, pos, lid, ...)`` and lines ``(lid, group, first, times)``; without ``sketches`` only SimHashes make candidates."""
+def _grouped(docs: DataFrame, min_words: int, similarity: float, id_col: str, text_col: str, sketches: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Occurrences, lines, and the ``component`` of each linked ``node``."""
+    if not 0.5 < similarity <= 1:
+        raise ValueError("the similarity must be over 0.5 and at most 1")
     occ = cut(_occurrences(docs, min_words, id_col, text_col), "lines-occurrences")
-    lines = occ.groupBy("lid").agg(F.first("sim").alias("sim"), F.first("sketch").alias("sketch"), F.first("len").alias("len"), F.min(F.struct("doc", "pos")).alias("first"), F.count(F.lit(1)).alias("times"))
-    lines = cut(lines, "lines-distinct")
-    close = lambda n, m: F.least(n, m) >= F.greatest(n, m) * F.lit(similarity) - 1e-9
-
-    # Buckets of SimHashes; those alone in all their buckets are gone after this.
-    sims = lines.groupBy("sim").agg(F.min("lid").alias("lid"), F.count(F.lit(1)).alias("lines"))
-    keyed = sims.select("sim", F.explode(_keys(F.col("sim"))).alias("key")).repartition("key")
-    order = Window.partitionBy("key").orderBy("sim")
-    bucket = keyed.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("m > 1").select("key", "sim", F.lag("sim").over(order).alias("prev"))
-    bucket = cut(bucket, "lines-buckets")
-    near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= MAX_BITS
-    chain = bucket.where(F.col("prev").isNotNull() & near("sim", "prev")).select("sim", "prev").distinct()
-    head = sims.select("sim", "lid")
-    chain = chain.join(head, "sim").withColumnRenamed("lid", "a").join(head.select(F.col("sim").alias("prev"), F.col("lid").alias("b")), "prev").select("a", "b")
-    same = lines.join(sims.where("lines > 1").select("sim", F.col("lid").alias("b")), "sim").where("lid <> b").select(F.col("lid").alias("a"), "b")
-    first = cut(chain.union(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "lines-first")
-    links = cut(_verified(first, _texts(docs, lines, first, id_col, text_col), similarity), "lines-links")
+    lines = cut(_distinct(occ), "lines-distinct")
+    bucket = cut(_buckets(lines, similarity, sketches), "lines-buckets")
+    texts = cut(_texts(docs, lines, bucket.select("node").distinct(), id_col, text_col), "lines-texts")
+    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    first = cut(bucket.where("prev <> node").select(*ordered("node", "prev")).distinct(), "lines-first")
+    links = cut(_verified(first, texts, similarity), "lines-links")
     found = cut(components(links), "lines-components")
 
     # What still spans groups: every pair of lines of different groups there is tested.
-    label = F.coalesce("component", "lid")
-    known = lines.select("lid", "sim", "len").join(found.withColumnRenamed("node", "lid"), "lid", "left").withColumn("c", label)
+    by_key = Window.partitionBy("key")
+    known = bucket.drop("prev").join(found, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    known = known.repartition("key").withColumns({"lo": F.min("c").over(by_key), "hi": F.max("c").over(by_key)}).where("lo <> hi").select("key", "node", "len", "sim", "c")
     known = cut(known, "lines-known")
-    whole = known.groupBy("sim").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("component").alias("linked"))
-    # Only linked lines need a label: the others are groups of their own, apart from all.
-    labels = whole.where("linked > 0 or lo <> hi").select(F.explode(_keys(F.col("sim"))).alias("key"), "sim", "lo", "hi")
-    none = F.lit(None).cast("binary")
-    labelled = bucket.select("key", "sim", none.alias("lo"), none.alias("hi")).union(labels).repartition("key").groupBy("key", "sim").agg(F.max("lo").alias("lo"), F.max("hi").alias("hi"))
-    labelled = cut(labelled, "lines-labelled")
-    x, y = labelled.alias("x"), labelled.alias("y")
-    together = (F.col("x.lo") == F.col("y.lo")) & (F.col("x.lo") == F.col("x.hi")) & (F.col("y.lo") == F.col("y.hi"))
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.sim") < F.col("y.sim")) & near("x.sim", "y.sim") & ~F.coalesce(together, F.lit(False)))
-    pairs = pairs.select(F.col("x.sim").alias("sim"), F.col("y.sim").alias("other")).distinct().union(whole.where("lo <> hi").select("sim", F.col("sim").alias("other")))
-    more = pairs.join(known.select("sim", F.col("lid").alias("a"), F.col("len").alias("n"), F.col("c").alias("ca")), "sim")
-    more = more.join(known.select(F.col("sim").alias("other"), F.col("lid").alias("b"), F.col("len").alias("m"), F.col("c").alias("cb")), "other")
-    more = more.where((F.col("ca") != F.col("cb")) & close(F.col("n"), F.col("m"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = cut(more.distinct().join(first, ["a", "b"], "left_anti"), "lines-more")
-    for table in (bucket, labelled, known):
-        forget(table)
+    x, y = known.alias("x"), known.alias("y")
+    fits = _close(F.col("x.len"), F.col("y.len"), similarity) & _near(F.col("x.key"), F.col("x.sim"), F.col("y.sim"))
+    more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c")) & fits)
+    more = cut(more.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(first, ["a", "b"], "left_anti"), "lines-more")
     if not more.isEmpty():
-        links = cut(links.union(_verified(more, _texts(docs, lines, more, id_col, text_col), similarity)), "lines-links")
-        found = cut(components(links), "lines-components")
-    if sketches:
-        links = _by_sketch(docs, lines, links, similarity, id_col, text_col)
-        found = cut(components(links), "lines-components")
-    groups = lines.select("lid", "first", "times").join(found.withColumnRenamed("node", "lid"), "lid", "left").select("lid", label.alias("group"), "first", "times")
-    return occ, groups
+        # Groups so far are stars: new links join them by their members.
+        stars = found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        after = cut(components(stars.union(_verified(more, texts, similarity))), "lines-components")
+        forget(found)
+        found = after
+    for table in (bucket, texts, first, links, known, more):
+        forget(table)
+    return occ, lines, found
+
+
+def _lid(h1, h2) -> Column:
+    """The 16 bytes that stand for a line, ordered as its number."""
+    digits = lambda h: F.lpad(F.hex(h), 16, "0")
+    return F.unhex(F.concat(digits(F.col(h1).bitwiseXOR(F.lit(_TOP).cast("long"))), digits(F.col(h2))))
+
+
+def line_groups(docs: DataFrame, min_words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", sketches: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Occurrences ``(doc, pos, lid, ...)`` and lines ``(lid, group, times)``; without ``sketches`` only SimHashes make candidates."""
+    occ, lines, found = _grouped(docs, min_words, similarity, id_col, text_col, sketches)
+    heads = lines.select(F.col("node").alias("component"), _lid("h1", "h2").alias("group"))
+    groups = lines.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).join(heads, "component")
+    return occ.select("doc", "pos", _lid("h1", "h2").alias("lid"), "len", "sim"), groups.select(_lid("h1", "h2").alias("lid"), "group", "times")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the repeated lines gone from its text, and ``n_lines, n_removed long`` appended."""
-    occ, groups = line_groups(docs, min_words, similarity, id_col, text_col, sketches=True)
-    groups = cut(groups, "lines-groups")
-    heads = groups.groupBy("group").agg(F.min("first").alias("head"), F.sum("times").alias("all")).where("all > 1")
-    lines = groups.join(heads, "group").select("lid", "head")
-    gone = occ.select("doc", "pos", "lid").join(lines, "lid").where((F.col("doc") != F.col("head.doc")) | (F.col("pos") != F.col("head.pos")))
+    occ, lines, found = _grouped(docs, min_words, similarity, id_col, text_col, sketches=True)
+    several = lines.select("h1", "h2", "node", "times").join(found, "node", "left").where("times > 1 or component is not null")
+    several = several.select("h1", "h2", F.coalesce("component", "node").alias("group"))
+    rows = cut(occ.select("doc", "pos", "h1", "h2").join(several, ["h1", "h2"]).select("doc", "pos", "group"), "lines-repeated")
+    forget(occ)
+    forget(lines)
+    heads = rows.groupBy("group").agg(F.min(F.struct("doc", "pos")).alias("head"))
+    gone = rows.join(heads, "group").where((F.col("doc") != F.col("head.doc")) | (F.col("pos") != F.col("head.pos")))
     gone = gone.groupBy("doc").agg(F.collect_set("pos").alias("__gone")).withColumnRenamed("doc", "__doc")
     marked = docs.join(gone, F.col(id_col) == F.col("__doc"), "left").drop("__doc")
     parts = F.split(F.col(text_col), "\n")
-    left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("__gone", i)), "\n")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "__gone")
+    left = F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n")
     text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(left)
     n_lines = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(parts)).cast("long")
     marked = replace_columns(marked, {"n_lines": n_lines, "n_removed": F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size("__gone")).cast("long")})
