@@ -4,12 +4,12 @@ Lines are lower-cased and trimmed, tabs, carriage returns, no-break and ideograp
 counting as spaces. Lines of at least five words (parted by single spaces) are compared by their
 words, others of at least 20 characters by their character 4-grams, and others of at least 10
 characters are removed only if equal; shorter ones stay. Each gets a 63-bit SimHash of its
-different parts. SimHashes at most three bits apart agree in
-two of five blocks, so every pair of blocks (with the magnitude of the line's length) is a join
-key. One changed word moves more bits
-than that in most lines, so each line also has a sketch: its five different parts of least
-hash, words of eight characters or more first. Three of these five are a join key, which
-lines that differ in at most two words always share; README has the recall of the rest.
+different parts (of more than 63, those of least hash have weight). SimHashes at most three
+bits apart agree in two of five blocks, so every pair of blocks is a join key. One changed word
+moves more bits than that in many lines, so each line also has a sketch: its five different
+parts of least hash, words of eight characters or more first; in lines of 48 words or more,
+which share frequent words, pairs of neighbouring words instead, and both in lines of 32 to 47.
+Three of these five are a join key; README has the recall.
 Candidates are verified by edit similarity on the normalised lines. Of each connected group
 of lines the occurrence with the smallest ``(doc_id, position)`` stays and the others go.
 
@@ -37,6 +37,8 @@ BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 11))
 MAX_BITS = 3
 #: A sketch's words, how many of them make a key, and from which length on a word comes first.
 SKETCH, KEY_WORDS, LONG_WORD = 5, 3, 8
+#: Parts with weight in a SimHash; words from which on a sketch is also, or only, of pairs of words.
+FEATURES, PAIRS, PAIRS_ONLY = 63, 32, 48
 #: Characters of a line with few words: from the first number on equal ones go, from the second on similar ones.
 LEAST_CHARS, GRAM_CHARS, GRAM = 10, 20, 4
 #: Shares of a line's length within which edits are looked for, before the whole allowance.
@@ -56,14 +58,15 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("doc", F.posexplode(F.split(_normal(F.col("text")), "\n")).alias("pos", "line")).select("doc", "pos", F.trim("line").alias("norm"))
 
 
-def _counted(hashes: Column, lanes: int) -> Column:
-    """SimHash of fewer than ``2 ** (63 // lanes - 1)`` hashes: ``lanes`` bit counters share a long.
+def _simhash(hashes: Column) -> Column:
+    """Bits that more than half of at most 63 hashes have.
 
-    Counters start so far below half their range that the topmost bit tells a majority.
+    Nine counters of seven bits share a long. They start so far below 64 that their topmost
+    bit tells a majority, and can't reach 128.
     """
-    width = 63 // lanes
-    ones = sum(1 << (width * j) for j in range(lanes))
-    below = (F.lit((1 << (width - 1)) - 1) - F.floor(F.size(hashes) / 2)) * F.lit(ones)
+    width = 7
+    ones = sum(1 << (width * j) for j in range(9))
+    below = (F.lit(63) - F.floor(F.size(hashes) / 2)) * F.lit(ones)
     start = F.struct(*[below.cast("long").alias(f"c{i}") for i in range(width)])
     add = lambda a, h: F.struct(*[(a[f"c{i}"] + F.shiftrightunsigned(h, i).bitwiseAND(F.lit(ones))).alias(f"c{i}") for i in range(width)])
 
@@ -76,13 +79,8 @@ def _counted(hashes: Column, lanes: int) -> Column:
     return F.aggregate(hashes, start, add, bits)
 
 
-def _simhash(hashes: Column) -> Column:
-    n = F.size(hashes)
-    return F.when(n < 1 << 8, _counted(hashes, 7)).when(n < 1 << 20, _counted(hashes, 3)).otherwise(_counted(hashes, 1))
-
-
 def _occurrences(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
-    """``(doc, pos, h1, h2, len, sim, s1, ..., s5)`` of the lines with enough words or characters."""
+    """``(doc, pos, h1, h2, len, sim, s1, ..., s5, t1, ..., t5)`` of the lines with enough words or characters; t of a second sketch, if any."""
     n = F.length("norm")
     lines = _lines(docs, id_col, text_col).withColumn("words", F.split("norm", " ")).where((F.size("words") >= min_words) | (n >= LEAST_CHARS))
     grams = F.transform(F.sequence(F.lit(1), n - (GRAM - 1)), lambda i: F.col("norm").substr(i, F.lit(GRAM)))
@@ -90,39 +88,42 @@ def _occurrences(docs: DataFrame, min_words: int, id_col: str, text_col: str) ->
     # The hash of a long word has its topmost bit, so it comes first; SimHashes are of the other bits.
     low = F.lit((1 << 63) - 1)
     ranked = F.transform("words", lambda w: F.when(F.length(w) >= LONG_WORD, F.xxhash64(w).bitwiseOR(F.lit(_TOP).cast("long"))).otherwise(F.xxhash64(w).bitwiseAND(low)))
-    lines = lines.select("doc", "pos", F.xxhash64("norm").alias("h1"), F.xxhash64("norm", F.lit("other")).alias("h2"), n.alias("len"), F.sort_array(F.array_distinct(ranked)).alias("hashes"))
-    return lines.select("doc", "pos", "h1", "h2", "len", _simhash(F.col("hashes")).alias("sim"), *[F.get("hashes", F.lit(i)).alias(f"s{i + 1}") for i in range(SKETCH)])
+    lines = lines.select("doc", "pos", F.xxhash64("norm").alias("h1"), F.xxhash64("norm", F.lit("other")).alias("h2"), n.alias("len"), ranked.alias("inorder"))
+    lines = lines.withColumn("hashes", F.sort_array(F.array_distinct("inorder")))
+    size, least = F.size("inorder"), lambda x: F.slice(x, 1, SKETCH)
+    pairs = F.sort_array(F.array_distinct(F.zip_with(F.slice("inorder", F.lit(1), size - 1), F.slice("inorder", F.lit(2), size - 1), lambda a, b: F.xxhash64(a, b))))
+    words, pairs = least(F.col("hashes")), least(pairs)
+    lines = lines.select("doc", "pos", "h1", "h2", "len", _simhash(F.slice("hashes", 1, FEATURES)).alias("sim"), F.when(size >= PAIRS_ONLY, pairs).otherwise(words).alias("s"), F.when((size >= PAIRS) & (size < PAIRS_ONLY), pairs).alias("t"))
+    return lines.select("doc", "pos", "h1", "h2", "len", "sim", *[F.get(c, F.lit(i)).alias(f"{c}{i + 1}") for c in "st" for i in range(SKETCH)])
 
 
 def _distinct(occ: DataFrame) -> DataFrame:
     """Lines with ``node``, the number that stands for the line, ``times`` and one place where it occurs."""
-    same = [F.max(c).alias(c) for c in ("len", "sim", *[f"s{i + 1}" for i in range(SKETCH)])]
+    same = [F.max(c).alias(c) for c in ("len", "sim", *[f"{c}{i + 1}" for c in "st" for i in range(SKETCH)])]
     lines = occ.repartition("h1").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times"), F.min("doc").alias("at_doc"), F.min_by("pos", "doc").alias("at_pos"), *same)
     least = F.min("h2").over(Window.partitionBy("h1"))
     return lines.withColumn("node", F.when(F.col("h2") == least, F.col("h1")).otherwise(F.col("h2")))
 
 
-def _sim_keys(sim: Column, length: Column, similarity: float) -> Column:
-    """Pairs of blocks with the length's power of two, or both if a similar line may have the next."""
+def _sim_keys(sim: Column) -> Column:
+    """Pairs of blocks."""
     block = [F.shiftrightunsigned(sim, at).bitwiseAND(F.lit((1 << width) - 1)) for at, width in BLOCKS]
-    pairs = [F.shiftleft(block[i], 13).bitwiseOR(block[j]) + F.lit(n << 26) for n, (i, j) in enumerate(combinations(range(len(BLOCKS)), 2))]
-    power = lambda x: F.floor(F.log2(x + F.lit(1e-9))).cast("long")
-    at = lambda p: F.array(*[x + F.shiftleft(p, 32) for x in pairs])
-    mine, next_ = power(F.greatest(length, F.lit(1))), power(F.greatest(length, F.lit(1)) / similarity)
-    return F.when(mine == next_, at(mine)).otherwise(F.concat(at(mine), at(next_)))
+    return F.array(*[F.shiftleft(block[i], 13).bitwiseOR(block[j]) + F.lit(n << 26) for n, (i, j) in enumerate(combinations(range(len(BLOCKS)), 2))])
 
 
 def _sketch_keys() -> Column:
-    """Negative keys: of every three of the sketch, or of all of a sketch of fewer."""
-    word = [F.col(f"s{i + 1}") for i in range(SKETCH)]
+    """Negative keys: of every three of a sketch, or of all of a sketch of fewer."""
     key = lambda *c: F.xxhash64(*c).bitwiseOR(F.lit(_TOP).cast("long"))
-    few = F.when(word[KEY_WORDS - 1].isNull(), key(*word[: KEY_WORDS - 1]))
-    some = [F.when(word[c[-1]].isNotNull(), key(*[word[i] for i in c])) for c in combinations(range(SKETCH), KEY_WORDS)]
-    return F.array_compact(F.array(few, *some))
+    keys = []
+    for name in "st":
+        word = [F.col(f"{name}{i + 1}") for i in range(SKETCH)]
+        keys.append(F.when(word[0].isNotNull() & word[KEY_WORDS - 1].isNull(), key(*word[: KEY_WORDS - 1])))
+        keys += [F.when(word[c[-1]].isNotNull(), key(*[word[i] for i in c])) for c in combinations(range(SKETCH), KEY_WORDS)]
+    return F.array_compact(F.array(*keys))
 
 
 def _close(n, m, similarity: float) -> Column:
-    return F.least(n, m) >= F.greatest(n, m) * F.lit(similarity) - 1e-9
+    return n.isNotNull() & m.isNotNull() & (F.least(n, m) >= F.greatest(n, m) * F.lit(similarity) - 1e-9)
 
 
 def _near(key, x, y) -> Column:
@@ -132,14 +133,13 @@ def _near(key, x, y) -> Column:
 
 def _buckets(lines: DataFrame, similarity: float, sketches: bool) -> DataFrame:
     """``(key, node, len, sim)`` of the lines with a neighbour by length in a bucket, and the one before."""
-    keys = _sim_keys(F.col("sim"), F.col("len"), similarity)
+    keys = _sim_keys(F.col("sim"))
     keyed = lines.select("node", "len", "sim", F.explode(F.concat(keys, _sketch_keys()) if sketches else keys).alias("key")).repartition("key")
     order = Window.partitionBy("key").orderBy("len", "node")
     there = F.struct("node", "len", "sim")
     rows = keyed.select("key", "node", "len", "sim", F.lag(there).over(order).alias("prev"), F.lead("len").over(order).alias("next"))
     # By length, whoever has a close partner at all has one beside it.
-    before = F.coalesce(_close(F.col("len"), F.col("prev.len"), similarity), F.lit(False))
-    after = F.coalesce(_close(F.col("len"), F.col("next"), similarity), F.lit(False))
+    before, after = _close(F.col("len"), F.col("prev.len"), similarity), _close(F.col("len"), F.col("next"), similarity)
     return rows.where(before | after).select("key", "node", "len", "sim", F.when(before & _near(F.col("key"), F.col("sim"), F.col("prev.sim")), F.col("prev.node")).alias("prev"))
 
 
