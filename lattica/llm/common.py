@@ -17,6 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; a folder of our own only where it is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="lattica-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -26,17 +28,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-FILES_PER_CORE = 3
+FILES_PER_CORE, PARTITIONS_PER_FILE = 3, 8
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lost executors cost a reread, not the lineage.
 
-    The files are a few for each core of the cluster, not one for each shuffle partition; a task works on its partitions one by one.
+    The files are a few for each core of the cluster, or one for several shuffle partitions where these are many more; a task works on
+    its partitions one by one.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.coalesce(FILES_PER_CORE * spark.sparkContext.defaultParallelism).write.parquet(path)
+    files = max(FILES_PER_CORE * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // PARTITIONS_PER_FILE)
+    df.coalesce(files).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out
@@ -101,6 +105,8 @@ def components(edges: DataFrame, name: str = "components", max_rounds: int = 60)
         after = cut(small.select("e.*").where("a <> b").distinct(), name)
         forget(now)
         now = after
+    else:
+        raise RuntimeError(f"components didn't settle in {max_rounds} rounds")
     return now.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component").union(
         now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )

@@ -3,13 +3,15 @@
 Lines are lower-cased and trimmed, tabs, carriage returns, no-break and ideographic spaces
 counting as spaces. Lines of at least five words (parted by single spaces) are compared by their
 words, others of at least 20 characters by their character 4-grams, and others of at least 10
-characters are removed only if equal; shorter ones stay. Each gets a 63-bit SimHash of its
-different parts (of more than 63, those of least hash have weight). SimHashes at most three
-bits apart agree in two of five blocks, so every pair of blocks is a join key. One changed word
-moves more bits than that in many lines, so each line also has a sketch: its five different
-parts of least hash, words of eight characters or more first; in lines of 48 words or more,
-which share frequent words, pairs of neighbouring words instead, and both in lines of 32 to 47.
-Three of these five are a join key; README has the recall.
+characters are removed only if equal; shorter ones stay.
+
+One SimHash of a whole line is a poor key: a single changed word moves more than three of 64
+bits in most lines. So each line is sampled: of its different parts the five of least hash,
+words of 12 characters or more first, then those of eight. Every three of the five make one
+64-bit SimHash block, the bits that most of the three hashes have. By the pigeonhole
+principle lines that differ in at most two of the five share a block, and blocks are the join
+keys; README has the recall. ``line_groups`` can also link by one SimHash of a line's at most
+15 parts of least hash, at most three bits apart, which agree in two of five bit ranges.
 Candidates are verified by edit similarity on the normalised lines. Of each connected group
 of lines the occurrence with the smallest ``(doc_id, position)`` stays and the others go.
 
@@ -32,17 +34,19 @@ from pyspark.sql import functions as F
 
 from .common import components, cut, forget, replace_columns
 
-#: First bit and width of each block of a SimHash.
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 11))
+#: First bit and width of each range of a line's one SimHash, and how many bits may differ.
+RANGES = ((0, 12), (12, 12), (24, 12), (36, 12), (48, 12))
 MAX_BITS = 3
-#: A sketch's words, how many of them make a key, and from which length on a word comes first.
-SKETCH, KEY_WORDS, LONG_WORD = 5, 3, 8
-#: Parts with weight in a SimHash; words from which on a sketch is also, or only, of pairs of words.
-FEATURES, PAIRS, PAIRS_ONLY = 63, 32, 48
+#: Parts of a sample, how many of them make a block, and from which lengths on a word comes first.
+SAMPLE, BLOCK, LONG_WORD, LONGER_WORD = 5, 3, 8, 12
+#: Parts with weight in a line's one SimHash.
+FEATURES = 15
 #: Characters of a line with few words: from the first number on equal ones go, from the second on similar ones.
 LEAST_CHARS, GRAM_CHARS, GRAM = 10, 20, 4
-#: Shares of a line's length within which edits are looked for, before the whole allowance.
-BANDS = (0.01, 0.05)
+#: Shares of what is left of the shorter line that are cut off where both are equal, one after another.
+SHARES = (1.0, 0.5, 0.5, 0.5, 0.25, 0.25, 0.25)
+#: Parts whose edits are summed first in lines from a length on.
+PARTS, PARTED = 8, 128
 _TOP = -(1 << 63)
 
 
@@ -59,14 +63,14 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _simhash(hashes: Column) -> Column:
-    """Bits that more than half of at most 63 hashes have.
+    """The 60 bits that more than half of at most 15 hashes have.
 
-    Nine counters of seven bits share a long. They start so far below 64 that their topmost
-    bit tells a majority, and can't reach 128.
+    Twelve counters of five bits share a long. They start so far below 16 that their topmost
+    bit tells a majority, and can't reach 32.
     """
-    width = 7
-    ones = sum(1 << (width * j) for j in range(9))
-    below = (F.lit(63) - F.floor(F.size(hashes) / 2)) * F.lit(ones)
+    width = 5
+    ones = sum(1 << (width * j) for j in range(12))
+    below = (F.lit(15) - F.floor(F.size(hashes) / 2)) * F.lit(ones)
     start = F.struct(*[below.cast("long").alias(f"c{i}") for i in range(width)])
     add = lambda a, h: F.struct(*[(a[f"c{i}"] + F.shiftrightunsigned(h, i).bitwiseAND(F.lit(ones))).alias(f"c{i}") for i in range(width)])
 
@@ -79,68 +83,66 @@ def _simhash(hashes: Column) -> Column:
     return F.aggregate(hashes, start, add, bits)
 
 
-def _occurrences(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
-    """``(doc, pos, h1, h2, len, sim, s1, ..., s5, t1, ..., t5)`` of the lines with enough words or characters; t of a second sketch, if any."""
+def _occurrences(docs: DataFrame, min_words: int, id_col: str, text_col: str, blocks: bool) -> DataFrame:
+    """``(doc, pos, h1, h2, len)`` of the lines with enough words or characters, and their sample ``s1, ..., s5`` or their one SimHash ``sim``."""
     n = F.length("norm")
     lines = _lines(docs, id_col, text_col).withColumn("words", F.split("norm", " ")).where((F.size("words") >= min_words) | (n >= LEAST_CHARS))
     grams = F.transform(F.sequence(F.lit(1), n - (GRAM - 1)), lambda i: F.col("norm").substr(i, F.lit(GRAM)))
     lines = lines.withColumn("words", F.when(F.size("words") >= min_words, F.col("words")).when(n >= GRAM_CHARS, grams).otherwise(F.array("norm")))
-    # The hash of a long word has its topmost bit, so it comes first; SimHashes are of the other bits.
-    low = F.lit((1 << 63) - 1)
-    ranked = F.transform("words", lambda w: F.when(F.length(w) >= LONG_WORD, F.xxhash64(w).bitwiseOR(F.lit(_TOP).cast("long"))).otherwise(F.xxhash64(w).bitwiseAND(low)))
-    lines = lines.select("doc", "pos", F.xxhash64("norm").alias("h1"), F.xxhash64("norm", F.lit("other")).alias("h2"), n.alias("len"), ranked.alias("inorder"))
-    lines = lines.withColumn("hashes", F.sort_array(F.array_distinct("inorder")))
-    size, least = F.size("inorder"), lambda x: F.slice(x, 1, SKETCH)
-    pairs = F.sort_array(F.array_distinct(F.zip_with(F.slice("inorder", F.lit(1), size - 1), F.slice("inorder", F.lit(2), size - 1), lambda a, b: F.xxhash64(a, b))))
-    words, pairs = least(F.col("hashes")), least(pairs)
-    lines = lines.select("doc", "pos", "h1", "h2", "len", _simhash(F.slice("hashes", 1, FEATURES)).alias("sim"), F.when(size >= PAIRS_ONLY, pairs).otherwise(words).alias("s"), F.when((size >= PAIRS) & (size < PAIRS_ONLY), pairs).alias("t"))
-    return lines.select("doc", "pos", "h1", "h2", "len", "sim", *[F.get(c, F.lit(i)).alias(f"{c}{i + 1}") for c in "st" for i in range(SKETCH)])
+    # Lower 60 bits are the part's own; above them is what puts longer words first.
+    first = lambda w: F.when(F.length(w) < LONG_WORD, 2).when(F.length(w) < LONGER_WORD, 1).otherwise(0).cast("long")
+    ranked = F.transform("words", lambda w: F.xxhash64(w).bitwiseAND(F.lit((1 << 60) - 1)).bitwiseOR(F.shiftleft(first(w), 60)))
+    lines = lines.select("doc", "pos", F.xxhash64("norm").alias("h1"), F.xxhash64("norm", F.lit("other")).alias("h2"), n.alias("len"), F.sort_array(F.array_distinct(ranked)).alias("hashes"))
+    if not blocks:
+        return lines.select("doc", "pos", "h1", "h2", "len", _simhash(F.slice("hashes", 1, FEATURES)).alias("sim"))
+    return lines.select("doc", "pos", "h1", "h2", "len", *[F.get("hashes", F.lit(i)).alias(f"s{i + 1}") for i in range(SAMPLE)])
 
 
 def _distinct(occ: DataFrame) -> DataFrame:
     """Lines with ``node``, the number that stands for the line, ``times`` and one place where it occurs."""
-    same = [F.max(c).alias(c) for c in ("len", "sim", *[f"{c}{i + 1}" for c in "st" for i in range(SKETCH)])]
+    same = [F.max(c).alias(c) for c in occ.columns if c not in ("doc", "pos", "h1", "h2")]
     lines = occ.repartition("h1").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times"), F.min("doc").alias("at_doc"), F.min_by("pos", "doc").alias("at_pos"), *same)
     least = F.min("h2").over(Window.partitionBy("h1"))
     return lines.withColumn("node", F.when(F.col("h2") == least, F.col("h1")).otherwise(F.col("h2")))
 
 
-def _sim_keys(sim: Column) -> Column:
-    """Pairs of blocks."""
-    block = [F.shiftrightunsigned(sim, at).bitwiseAND(F.lit((1 << width) - 1)) for at, width in BLOCKS]
-    return F.array(*[F.shiftleft(block[i], 13).bitwiseOR(block[j]) + F.lit(n << 26) for n, (i, j) in enumerate(combinations(range(len(BLOCKS)), 2))])
+def _range_keys() -> Column:
+    """Pairs of ranges of a line's one SimHash."""
+    part = [F.shiftrightunsigned("sim", at).bitwiseAND(F.lit((1 << width) - 1)) for at, width in RANGES]
+    return F.array(*[F.shiftleft(part[i], 12).bitwiseOR(part[j]) + F.lit(n << 24) for n, (i, j) in enumerate(combinations(range(len(RANGES)), 2))])
 
 
-def _sketch_keys() -> Column:
-    """Negative keys: of every three of a sketch, or of all of a sketch of fewer."""
-    key = lambda *c: F.xxhash64(*c).bitwiseOR(F.lit(_TOP).cast("long"))
-    keys = []
-    for name in "st":
-        word = [F.col(f"{name}{i + 1}") for i in range(SKETCH)]
-        keys.append(F.when(word[0].isNotNull() & word[KEY_WORDS - 1].isNull(), key(*word[: KEY_WORDS - 1])))
-        keys += [F.when(word[c[-1]].isNotNull(), key(*[word[i] for i in c])) for c in combinations(range(SKETCH), KEY_WORDS)]
-    return F.array_compact(F.array(*keys))
+def _block_keys() -> Column:
+    """SimHash blocks: the majority of the bits of every three of the sample, hashed anew for 64 bits; of a smaller sample, all of it."""
+    part = [F.col(f"s{i + 1}") for i in range(SAMPLE)]
+    mixed = [F.xxhash64(x) for x in part]
+    few = F.when(part[BLOCK - 1].isNull(), F.xxhash64(*part[: BLOCK - 1]))
+
+    def majority(a: Column, b: Column, c: Column) -> Column:
+        return a.bitwiseAND(b).bitwiseOR(a.bitwiseAND(c)).bitwiseOR(b.bitwiseAND(c))
+
+    return F.array_compact(F.array(few, *[F.when(part[c[-1]].isNotNull(), majority(*[mixed[i] for i in c])) for c in combinations(range(SAMPLE), BLOCK)]))
 
 
 def _close(n, m, similarity: float) -> Column:
     return n.isNotNull() & m.isNotNull() & (F.least(n, m) >= F.greatest(n, m) * F.lit(similarity) - 1e-9)
 
 
-def _near(key, x, y) -> Column:
-    """Keys of sketches are enough; those of blocks need SimHashes that are near."""
-    return (key < 0) | (F.bit_count(x.bitwiseXOR(y)) <= MAX_BITS)
+def _near(rows: DataFrame, x: Column, y: Column) -> Column:
+    """Blocks are enough; ranges need SimHashes that are near."""
+    return F.bit_count(x.bitwiseXOR(y)) <= MAX_BITS if "sim" in rows.columns else F.lit(True)
 
 
-def _buckets(lines: DataFrame, similarity: float, sketches: bool) -> DataFrame:
-    """``(key, node, len, sim)`` of the lines with a neighbour by length in a bucket, and the one before."""
-    keys = _sim_keys(F.col("sim"))
-    keyed = lines.select("node", "len", "sim", F.explode(F.concat(keys, _sketch_keys()) if sketches else keys).alias("key")).repartition("key")
+def _buckets(lines: DataFrame, similarity: float) -> DataFrame:
+    """``(key, node, len)``, and ``sim`` if there is one, of the lines with a neighbour by length in a bucket, and the one before."""
+    known = ["node", "len", *(["sim"] if "sim" in lines.columns else [])]
+    keyed = lines.select(*known, F.explode(_range_keys() if "sim" in known else _block_keys()).alias("key")).repartition("key")
     order = Window.partitionBy("key").orderBy("len", "node")
-    there = F.struct("node", "len", "sim")
-    rows = keyed.select("key", "node", "len", "sim", F.lag(there).over(order).alias("prev"), F.lead("len").over(order).alias("next"))
+    rows = keyed.select("key", *known, *[F.lag(c).over(order).alias(f"prev_{c}") for c in known], F.lead("len").over(order).alias("next"))
     # By length, whoever has a close partner at all has one beside it.
-    before, after = _close(F.col("len"), F.col("prev.len"), similarity), _close(F.col("len"), F.col("next"), similarity)
-    return rows.where(before | after).select("key", "node", "len", "sim", F.when(before & _near(F.col("key"), F.col("sim"), F.col("prev.sim")), F.col("prev.node")).alias("prev"))
+    before, after = _close(F.col("len"), F.col("prev_len"), similarity), _close(F.col("len"), F.col("next"), similarity)
+    near = _near(lines, F.col("sim"), F.col("prev_sim")) if "sim" in known else F.lit(True)
+    return rows.where(before | after).select("key", *known, F.when(before & near, F.col("prev_node")).alias("prev"))
 
 
 def _texts(docs: DataFrame, lines: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -155,25 +157,47 @@ def _texts(docs: DataFrame, lines: DataFrame, nodes: DataFrame, id_col: str, tex
 
 
 def _verified(pairs: DataFrame, text: DataFrame, similarity: float) -> DataFrame:
-    """Those pairs ``(a, b)`` of lines whose edit similarity is enough."""
+    """Those pairs ``(a, b)`` of lines whose edit similarity is enough.
+
+    What both begin or end with takes no edits, so halves and quarters of the shorter line that
+    are equal there are cut off before.
+    """
     side = lambda node, norm: text.select(F.col("node").alias(node), F.col("norm").alias(norm))
     both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
-    within = lambda share: F.expr(f"levenshtein(x, y, cast(floor(greatest(length(x), length(y)) * {share!r} + 1e-9) as int)) >= 0")
-    # Most similar lines are very similar, which a narrow band shows at less cost.
-    test = within(round(1 - similarity, 9))
-    for share in sorted(BANDS, reverse=True):
-        test = F.when(within(share), True).otherwise(test) if share < 1 - similarity else test
+    most = F.floor(F.greatest(F.length("x"), F.length("y")) * F.lit(round(1 - similarity, 9)) + 1e-9).cast("int")
+
+    def cut_off(front: bool):
+        def step(r, share):
+            n = F.floor(F.least(F.length(r["x"]), F.length(r["y"])) * share).cast("int")
+            part = (lambda t: t.substr(F.lit(1), n)) if front else (lambda t: F.right(t, n))
+            rest = (lambda t: t.substr(n + 1, F.length(t))) if front else (lambda t: t.substr(F.lit(1), F.length(t) - n))
+            same = part(r["x"]) == part(r["y"])
+            return F.struct(*[F.when(same, rest(r[c])).otherwise(r[c]).alias(c) for c in "xy"])
+
+        return step
+
+    def similar(r):
+        x, y = r["x"], r["y"]
+        size = F.greatest(F.length(x), F.length(y))
+        edge = lambda t, i: F.floor(F.length(t) * i / PARTS).cast("int")
+        part = lambda t, i: t.substr(edge(t, i) + 1, edge(t, i + 1) - edge(t, i))
+        # Edits of the parts make edits of the whole, which is much cheaper to show for long lines.
+        together = F.aggregate(F.sequence(F.lit(0), F.lit(PARTS - 1)), F.lit(0), lambda n, i: n + F.levenshtein(part(x, i), part(y, i)))
+        return F.when(size <= most, True).when((size >= PARTED) & (together <= most), True).otherwise(F.call_function("levenshtein", x, y, most) >= 0)
+
+    shares = F.array(*[F.lit(s) for s in SHARES])
+    rest = F.aggregate(shares, F.aggregate(shares, F.struct("x", "y"), cut_off(True)), cut_off(False))
     # Rows of equal id and text may give a line twice.
-    return both.where(test).select("a", "b").distinct()
+    return both.where(F.exists(F.array(rest), similar)).select("a", "b").distinct()
 
 
-def _grouped(docs: DataFrame, min_words: int, similarity: float, id_col: str, text_col: str, sketches: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _grouped(docs: DataFrame, min_words: int, similarity: float, id_col: str, text_col: str, blocks: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Occurrences, lines, and the ``component`` of each linked ``node``."""
     if not 0.5 < similarity <= 1:
         raise ValueError("the similarity must be over 0.5 and at most 1")
-    occ = cut(_occurrences(docs, min_words, id_col, text_col), "lines-occurrences")
+    occ = cut(_occurrences(docs, min_words, id_col, text_col, blocks), "lines-occurrences")
     lines = cut(_distinct(occ), "lines-distinct")
-    bucket = cut(_buckets(lines, similarity, sketches), "lines-buckets")
+    bucket = cut(_buckets(lines, similarity), "lines-buckets")
     texts = cut(_texts(docs, lines, bucket.select("node").distinct(), id_col, text_col), "lines-texts")
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     first = cut(bucket.where("prev <> node").select(*ordered("node", "prev")).distinct(), "lines-first")
@@ -183,10 +207,12 @@ def _grouped(docs: DataFrame, min_words: int, similarity: float, id_col: str, te
     # What still spans groups: every pair of lines of different groups there is tested.
     by_key = Window.partitionBy("key")
     known = bucket.drop("prev").join(found, "node", "left").withColumn("c", F.coalesce("component", "node"))
-    known = known.repartition("key").withColumns({"lo": F.min("c").over(by_key), "hi": F.max("c").over(by_key)}).where("lo <> hi").select("key", "node", "len", "sim", "c")
+    known = known.repartition("key").withColumns({"lo": F.min("c").over(by_key), "hi": F.max("c").over(by_key)}).where("lo <> hi").drop("component", "lo", "hi")
     known = cut(known, "lines-known")
     x, y = known.alias("x"), known.alias("y")
-    fits = _close(F.col("x.len"), F.col("y.len"), similarity) & _near(F.col("x.key"), F.col("x.sim"), F.col("y.sim"))
+    fits = _close(F.col("x.len"), F.col("y.len"), similarity)
+    if not blocks:
+        fits = fits & _near(known, F.col("x.sim"), F.col("y.sim"))
     more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c")) & fits)
     more = cut(more.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(first, ["a", "b"], "left_anti"), "lines-more")
     if not more.isEmpty():
@@ -206,17 +232,17 @@ def _lid(h1, h2) -> Column:
     return F.unhex(F.concat(digits(F.col(h1).bitwiseXOR(F.lit(_TOP).cast("long"))), digits(F.col(h2))))
 
 
-def line_groups(docs: DataFrame, min_words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", sketches: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Occurrences ``(doc, pos, lid, ...)`` and lines ``(lid, group, times)``; without ``sketches`` only SimHashes make candidates."""
-    occ, lines, found = _grouped(docs, min_words, similarity, id_col, text_col, sketches)
+def line_groups(docs: DataFrame, min_words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", blocks: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Occurrences ``(doc, pos, lid, ...)`` and lines ``(lid, group, times)``; ``blocks`` make candidates, or without them one SimHash of each line."""
+    occ, lines, found = _grouped(docs, min_words, similarity, id_col, text_col, blocks)
     heads = lines.select(F.col("node").alias("component"), _lid("h1", "h2").alias("group"))
     groups = lines.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).join(heads, "component")
-    return occ.select("doc", "pos", _lid("h1", "h2").alias("lid"), "len", "sim"), groups.select(_lid("h1", "h2").alias("lid"), "group", "times")
+    return occ.select("doc", "pos", _lid("h1", "h2").alias("lid"), "len", *[c for c in occ.columns if c == "sim"]), groups.select(_lid("h1", "h2").alias("lid"), "group", "times")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the repeated lines gone from its text, and ``n_lines, n_removed long`` appended."""
-    occ, lines, found = _grouped(docs, min_words, similarity, id_col, text_col, sketches=True)
+    occ, lines, found = _grouped(docs, min_words, similarity, id_col, text_col, blocks=True)
     several = lines.select("h1", "h2", "node", "times").join(found, "node", "left").where("times > 1 or component is not null")
     several = several.select("h1", "h2", F.coalesce("component", "node").alias("group"))
     rows = cut(occ.select("doc", "pos", "h1", "h2").join(several, ["h1", "h2"]).select("doc", "pos", "group"), "lines-repeated")
