@@ -208,7 +208,12 @@ def _verify(texts: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
 
 
 def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``docs``: ``id, n_shingles long, component long`` (smallest id reachable by links)."""
+    """Per row of ``docs``: ``id, n_shingles long, component long`` (smallest id reachable by links).
+
+    ``percent`` is over 50 and at most 100, or 50 where no set of one shingle can meet one of two.
+    """
+    if not 50 <= percent <= 100:
+        raise ValueError("the similarity must be at least 50 and at most 100 percent")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("body"))
     survey = cut(map_batches(texts, _survey(k), "id long, n long, digest binary, slice int, blob binary"), "jaccard-survey")
     rows = survey.where("slice is null").select("id", "n", "digest")

@@ -6,8 +6,9 @@ words, others of at least 20 characters by their character 4-grams, and others o
 characters are removed only if equal; shorter ones stay.
 
 One SimHash of a whole line is a poor key: a single changed word moves more than three of 64
-bits in most lines. So each line is sampled: of its different parts the five of least hash,
-words of 12 characters or more first, then those of eight. Every three of the five make one
+bits in most lines. So each line is sampled: five of its different parts, those of 11 characters
+or more in the order of their hashes, then shorter ones by length, since short words are in many
+lines. Every three of the five make one
 64-bit SimHash block, the bits that most of the three hashes have. By the pigeonhole
 principle lines that differ in at most two of the five share a block, and blocks are the join
 keys; README has the recall. ``line_groups`` can also link by one SimHash of a line's at most
@@ -37,16 +38,16 @@ from .common import components, cut, forget, replace_columns
 #: First bit and width of each range of a line's one SimHash, and how many bits may differ.
 RANGES = ((0, 12), (12, 12), (24, 12), (36, 12), (48, 12))
 MAX_BITS = 3
-#: Parts of a sample, how many of them make a block, and from which lengths on a word comes first.
-SAMPLE, BLOCK, LONG_WORD, LONGER_WORD = 5, 3, 8, 12
+#: Parts of a sample, how many of them make a block, and from which length on all words come first alike.
+SAMPLE, BLOCK, LONG_WORD = 5, 3, 11
 #: Parts with weight in a line's one SimHash.
 FEATURES = 15
 #: Characters of a line with few words: from the first number on equal ones go, from the second on similar ones.
 LEAST_CHARS, GRAM_CHARS, GRAM = 10, 20, 4
 #: Shares of what is left of the shorter line that are cut off where both are equal, one after another.
 SHARES = (1.0, 0.5, 0.5, 0.5, 0.25, 0.25, 0.25)
-#: Parts whose edits are summed first in lines from a length on.
-PARTS, PARTED = 8, 128
+#: Lines are compared in parts of about the first size, if they are long, then in so many parts from a length on, then as a whole.
+PART, PARTS, PARTED = 256, 8, 128
 _TOP = -(1 << 63)
 
 
@@ -90,7 +91,7 @@ def _occurrences(docs: DataFrame, min_words: int, id_col: str, text_col: str, bl
     grams = F.transform(F.sequence(F.lit(1), n - (GRAM - 1)), lambda i: F.col("norm").substr(i, F.lit(GRAM)))
     lines = lines.withColumn("words", F.when(F.size("words") >= min_words, F.col("words")).when(n >= GRAM_CHARS, grams).otherwise(F.array("norm")))
     # Lower 60 bits are the part's own; above them is what puts longer words first.
-    first = lambda w: F.when(F.length(w) < LONG_WORD, 2).when(F.length(w) < LONGER_WORD, 1).otherwise(0).cast("long")
+    first = lambda w: F.greatest(F.lit(0), F.least(F.lit(7), F.lit(LONG_WORD) - F.length(w))).cast("long")
     ranked = F.transform("words", lambda w: F.xxhash64(w).bitwiseAND(F.lit((1 << 60) - 1)).bitwiseOR(F.shiftleft(first(w), 60)))
     lines = lines.select("doc", "pos", F.xxhash64("norm").alias("h1"), F.xxhash64("norm", F.lit("other")).alias("h2"), n.alias("len"), F.sort_array(F.array_distinct(ranked)).alias("hashes"))
     if not blocks:
@@ -179,11 +180,14 @@ def _verified(pairs: DataFrame, text: DataFrame, similarity: float) -> DataFrame
     def similar(r):
         x, y = r["x"], r["y"]
         size = F.greatest(F.length(x), F.length(y))
-        edge = lambda t, i: F.floor(F.length(t) * i / PARTS).cast("int")
-        part = lambda t, i: t.substr(edge(t, i) + 1, edge(t, i + 1) - edge(t, i))
         # Edits of the parts make edits of the whole, which is much cheaper to show for long lines.
-        together = F.aggregate(F.sequence(F.lit(0), F.lit(PARTS - 1)), F.lit(0), lambda n, i: n + F.levenshtein(part(x, i), part(y, i)))
-        return F.when(size <= most, True).when((size >= PARTED) & (together <= most), True).otherwise(F.call_function("levenshtein", x, y, most) >= 0)
+        def together(parts: Column) -> Column:
+            edge = lambda t, i: F.floor(F.length(t) * i / parts).cast("int")
+            part = lambda t, i: t.substr(edge(t, i) + 1, edge(t, i + 1) - edge(t, i))
+            return F.aggregate(F.sequence(F.lit(0), parts - 1), F.lit(0), lambda n, i: n + F.levenshtein(part(x, i), part(y, i))) <= most
+
+        long_ = (size >= 4 * PART) & together(F.floor(size / PART).cast("int"))
+        return F.when((size <= most) | long_, True).when((size >= PARTED) & together(F.lit(PARTS)), True).otherwise(F.call_function("levenshtein", x, y, most) >= 0)
 
     shares = F.array(*[F.lit(s) for s in SHARES])
     rest = F.aggregate(shares, F.aggregate(shares, F.struct("x", "y"), cut_off(True)), cut_off(False))
