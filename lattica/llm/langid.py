@@ -202,6 +202,18 @@ def label_texts(model: WordChain, column: pa.Array) -> Iterator[tuple[str, float
                 yield model.langs[best], float(min(1.0, max(0.0, share[i][best])))
 
 
+def label_words(model: WordChain, text: str | None) -> list[tuple[str, str, float]]:
+    """Each word of a text (lower-cased A-Z) with its language in context and that one's share, as for code-switched text."""
+    body = (text or "").encode()
+    data = np.frombuffer(body, np.uint8)
+    hashes, starts, ends, where = words(data, np.array([0, len(body)]), _NOT_LETTER)
+    if not len(hashes) or not model.langs:
+        return []
+    marginal = model.marginals(model.emissions(data, starts, ends, hashes), where)
+    best = marginal.argmax(axis=1)
+    return [(body[a:b].lower().decode("utf-8", "replace"), model.langs[k], float(p[k])) for a, b, k, p in zip(starts, ends, best, marginal, strict=True)]
+
+
 def fit(docs: DataFrame, held_out: int | None = 2, folds: int = 4, sample_docs: int = 300, sample_chars: int = 4000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> WordChain:
     """Train on a bounded sample of labelled rows outside the held-out fold."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null and id is not null")

@@ -99,6 +99,43 @@ def test_style_tree_removes_what_repeats_on_a_site(spark):
     assert htmltext.extract_text(pages.limit(0)).count() == 0
 
 
+def test_the_style_tree_decides_inside_articles(spark):
+    """What different articles of a site share goes, what copies of one share stays; without the tree texts differ."""
+    part = "<p>Written for readers of the weekly, all rights kept</p>"
+    rows = [(i, "http://a.example/x", f"<article><h1>Title {i}</h1>{part}<p>Only {i} here</p></article>") for i in range(12)]
+    rows += [(100 + i, "http://b.example/x", f"<article><h1>One title</h1>{part}<p>One text</p></article>") for i in range(12)]
+    rows += [(200 + i, "http://c.example/x", f"<article><h1>T {i}</h1><div class='promo'>" + f"<p>a {i}</p><ul><li>b {i}</ul>" * (i % 5) + f"<h2>{i}</h2>" * (i % 3) + f"<p>prose {i}</p></div></article>") for i in range(15)]
+    rows += [(300 + i, "http://d.example/x", f"<article><h1>T {i}</h1><div class='promo'><p>prose {i}</p></div></article>") for i in range(15)]
+    got = {r["page_id"]: r["text"] for r in htmltext.extract_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got[3] == "Title 3\nOnly 3 here" and htmltext.extract(rows[3][2])[0] != got[3]
+    assert got[105].split("\n") == ["One title", "Written for readers of the weekly, all rights kept", "One text"]
+    assert "prose 7" in got[207] and got[307] == "T 7"
+
+
+def test_style_tree_by_brute_force(spark):
+    rng = random.Random(21)
+    rows = [(host, f"<article><p>{rng.choice('abcd')} {rng.choice('xy')}</p><p>own {i}</p></article>") for host in ("a", "b", "c") for i in range(20)]
+    rows += rows[:5]
+    pages, shared = defaultdict(set), defaultdict(set)
+    for host, html in rows:
+        texts = re.findall("<p>(.*?)</p>", html)
+        page = min(htmltext.node_key(t) for t in texts)
+        for t in texts:
+            pages[host].add(page)
+            shared[host, t].add(page)
+    want = sorted(round(1 - np.log(len(v)) / np.log(len(pages[h])), 9) for (h, _), v in shared.items() if len(v) > 1)
+    got = sorted(round(r["importance"], 9) for r in htmltext.style_tree(spark.createDataFrame(rows, "host string, html string")).where("content").collect())
+    assert got == want and got
+
+
+def test_names_alone_remove_no_prose_and_broken_pages_are_linear():
+    text = lambda x: htmltext.extract(x)[0]
+    assert text('<article><h1>t</h1><div class="related-work"><p>prose</p></div><section id="discussion"><p>more</p></section></article>') == "t\nprose\nmore"
+    assert text('<div class="discussion"><p>a</p></div>') == "a" and text('<form><div class="content"><h1>T</h1><p>b</p></div></form>') == "T\nb"
+    assert text('<article><p>a</p><section class="reply"><article class="post"><p>c</p></article></section></article>') == "a"
+    assert text("<div>" * 20000 + "x") == "x" and text("<a '" * 50000 + ">z") == "z" and text("<a<" * 50000).startswith("<a<")
+
+
 # 2 and 8
 
 
@@ -132,6 +169,22 @@ def test_language_on_held_out_documents(spark):
     assert np.mean([r["lang_pred"] == r["lang"] for r in got]) > 0.97
 
 
+def test_language_of_each_word_of_mixed_and_long_texts():
+    rng = random.Random(8)
+    words = {"en": "the of and with that from this have".split(), "de": "der und das nicht ein auch sich werden".split()}
+    sample = [(lang, " ".join(rng.choice(w) for _ in range(200))) for lang, w in words.items() for _ in range(20)]
+    model = langid.train_chain(sample)
+    mixed = " ".join([rng.choice(words["en"]) for _ in range(30)] + [rng.choice(words["de"]) for _ in range(30)])
+    labels = [(w, lang) for w, lang, _ in langid.label_words(model, mixed)]
+    assert [w for w, _ in labels] == mixed.split()
+    assert [lang for _, lang in labels[2:28]] == ["en"] * 26 and [lang for _, lang in labels[32:]] == ["de"] * 28
+    assert langid.label_words(model, None) == langid.label_words(model, "12 !!") == []
+    import pyarrow as pa
+
+    (lang, score), = langid.label_texts(model, pa.array([" ".join(rng.choice(words["de"]) for _ in range(300_000))]))
+    assert lang == "de" and score > 0.9
+
+
 def test_language_defined_cases(odd, none):
     model = langid.fit(odd, held_out=None)
     got = langid.identify(odd, model).collect()
@@ -183,6 +236,22 @@ def test_nn_descent_against_all_pairs(spark):
     assert nndescent.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_many_near_equal_vectors_and_double_precision(spark):
+    rng = np.random.default_rng(33)
+    base = rng.normal(size=8)
+    rows = [(i, (base + 0.05 * rng.normal(size=8)).tolist(), 0) for i in range(700)] + [(1000 + i, rng.normal(size=8).tolist(), 0) for i in range(300)]
+    rows += [(2000, [1e9, 1.0], 1), (2001, [1e9, 1.0 + 1e-9], 1)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in nndescent.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect()}
+    x = np.array([r[1] for r in rows[:1000]])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.98
+    np.fill_diagonal(near, False)
+    ids = [r[0] for r in rows[:1000]]
+    comp = union_find([(ids[a], ids[b]) for a, b in zip(*np.nonzero(near), strict=True)], ids)
+    assert {i: got[i] for i in ids} == {i: (int(n), comp[i]) for i, n in zip(ids, near.sum(axis=1), strict=True)}
+    assert got[2000] == got[2001] == (1, 2000)
+
+
 # 4
 
 
@@ -271,6 +340,38 @@ def test_line_dedup(spark, odd, none):
     assert linededup.dedup_lines(none).count() == 0
 
 
+def test_line_groups_by_blocks_against_edit_similarity(spark):
+    """No limit on bits in the brute force: lines of words that differ in up to two words always meet."""
+    rng = random.Random(26)
+    words = [f"{a}{b}{c}" for a in ("lon", "mer", "sta") for b in ("ger", "ind", "ul", "ation") for c in ("", "en", "ingly", "x")]
+    texts = []
+    for _ in range(15):
+        base = [rng.choice(words) for _ in range(rng.choice([6, 15, 40, 90]))]
+        texts.append(" ".join(base))
+        for _ in range(3):
+            other = list(base)
+            for _ in range(rng.choice([1, 2]) if len(base) > 10 else 1):
+                other[rng.randrange(len(base))] = rng.choice(words)
+            texts.append(" ".join(other))
+    texts = list(dict.fromkeys(texts))
+
+    def similar(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1] <= 0.2 * max(len(a), len(b))
+
+    edges = [(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts[:i]) if similar(a, b)]
+    want = union_find(edges, range(len(texts)))
+    occ, groups = linededup.line_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), blocks=True)
+    of = {bytes(r["lid"]): r["doc"] for r in occ.collect()}
+    got = {of[bytes(r["lid"])]: of[bytes(r["group"])] for r in groups.collect()}
+    met = [(a, b) for a, b in edges if got[a] == got[b]]
+    assert len(met) >= 0.97 * len(edges) and all(want[a] == want[b] for a in got for b in got if got[a] == got[b])
+
+
 def test_line_groups_are_those_of_all_pairs(spark):
     rng = random.Random(16)
     words = [f"w{i}" for i in range(50)]
