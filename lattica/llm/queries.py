@@ -91,4 +91,38 @@ SELECT page_id, payload_bytes,
 FROM w
 """
 
-ORACLE_SQL = {"op5_mix": OP5_SQL, "op7_warc": OP7_SQL}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP3_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+g AS (SELECT * FROM v WHERE label IS NOT NULL AND x IS NOT NULL AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.x, b.x) >= 0.98),
+r(n, c) AS (SELECT vec_id, vec_id FROM v UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.n WHERE r.c < e.b),
+m AS (SELECT n, min(c) AS c FROM r GROUP BY n)
+SELECT vec_id, (SELECT count(*) FROM e WHERE e.a = vec_id) AS n_links, c AS component_id, vec_id = c AS kept FROM v JOIN m ON n = vec_id
+"""
+
+OP4_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w, row_number() OVER () AS r FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+p AS (SELECT DISTINCT item, least(10, len(w)) AS k, array_to_string(w[x:x + least(10, len(w)) - 1], ' ') AS s FROM (SELECT *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS x FROM i WHERE len(w) > 0)),
+q AS (SELECT DISTINCT k FROM p),
+o AS (SELECT r, k, x, array_to_string(w[x:x + k - 1], ' ') AS s FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS x FROM d, q WHERE len(w) >= k)),
+h AS (SELECT o.r, o.x, o.k, p.item FROM o JOIN p ON o.k = p.k AND o.s = p.s),
+c AS (SELECT r, count(DISTINCT y) AS n_hit FROM (SELECT r, unnest(range(x, x + k)) AS y FROM h) GROUP BY r),
+n AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (r) LEFT JOIN n USING (r)
+"""
+
+OP10_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[x:x + 3], ' ') AS t FROM (SELECT *, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS x FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+e AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+r(m, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.m WHERE r.c < e.b)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, c AS component_id FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT m, min(c) AS c FROM r GROUP BY m) ON m = doc_id
+"""
+
+ORACLE_SQL = {"op3_nn_descent": OP3_SQL, "op4_decontaminate": OP4_SQL, "op5_mix": OP5_SQL, "op7_warc": OP7_SQL, "op10_jaccard_join": OP10_SQL}
