@@ -236,9 +236,9 @@ def _lid(h1, h2) -> Column:
     return F.unhex(F.concat(digits(F.col(h1).bitwiseXOR(F.lit(_TOP).cast("long"))), digits(F.col(h2))))
 
 
-def line_groups(docs: DataFrame, min_words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", blocks: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Occurrences ``(doc, pos, lid, ...)`` and lines ``(lid, group, times)``; ``blocks`` make candidates, or without them one SimHash of each line."""
-    occ, lines, found = _grouped(docs, min_words, similarity, id_col, text_col, blocks)
+def line_groups(docs: DataFrame, min_words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", sketches: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Occurrences ``(doc, pos, lid, ...)`` and lines ``(lid, group, times)``; ``sketches`` make candidates of SimHash blocks of samples, or without them one SimHash of each line."""
+    occ, lines, found = _grouped(docs, min_words, similarity, id_col, text_col, sketches)
     heads = lines.select(F.col("node").alias("component"), _lid("h1", "h2").alias("group"))
     groups = lines.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).join(heads, "component")
     return occ.select("doc", "pos", _lid("h1", "h2").alias("lid"), "len", *[c for c in occ.columns if c == "sim"]), groups.select(_lid("h1", "h2").alias("lid"), "group", "times")

@@ -365,7 +365,7 @@ def test_line_groups_by_blocks_against_edit_similarity(spark):
 
     edges = [(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts[:i]) if similar(a, b)]
     want = union_find(edges, range(len(texts)))
-    occ, groups = linededup.line_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), blocks=True)
+    occ, groups = linededup.line_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), sketches=True)
     of = {bytes(r["lid"]): r["doc"] for r in occ.collect()}
     got = {of[bytes(r["lid"])]: of[bytes(r["group"])] for r in groups.collect()}
     met = [(a, b) for a, b in edges if got[a] == got[b]]
