@@ -11,13 +11,17 @@ or more in the order of their hashes, then shorter ones by length, since short w
 lines. Every three of the five make one
 64-bit SimHash block, the bits that most of the three hashes have. By the pigeonhole
 principle lines that differ in at most two of the five share a block, and blocks are the join
-keys; README has the recall. ``line_groups`` can also link by one SimHash of a line's at most
+keys; README has the recall. Lines of a block are candidates if its three parts stand in one
+order in both and at places that leave few enough edits; a part that was moved counts as
+different, one that is there more than once may stand anywhere.
+``line_groups`` can also link by one SimHash of a line's at most
 15 parts of least hash, at most three bits apart, which agree in two of five bit ranges.
 Candidates are verified by edit similarity on the normalised lines. Of each connected group
 of lines the occurrence with the smallest ``(doc_id, position)`` stays and the others go.
 
-Pairs aren't all made: neighbours by length in each bucket are linked first, and only buckets
-that still span several groups have the pairs across groups tested, so no candidate is lost.
+Pairs aren't all made: neighbours by length and by place in each bucket are linked first, then
+in crowded buckets some neighbours of other groups, and only buckets that still span several
+groups have all pairs across groups tested, so no candidate is lost.
 A line is known by two 64-bit hashes; in graphs by one of them, which lines with an equal
 first hash don't share.
 
@@ -28,6 +32,7 @@ columns are kept, and one named like an appended column gives way.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -40,14 +45,18 @@ RANGES = ((0, 12), (12, 12), (24, 12), (36, 12), (48, 12))
 MAX_BITS = 3
 #: Parts of a sample, how many of them make a block, and from which length on all words come first alike.
 SAMPLE, BLOCK, LONG_WORD = 5, 3, 11
+#: Columns with the places of a block's parts.
+PLACES = ("pa", "pb", "pc")
 #: Parts with weight in a line's one SimHash.
 FEATURES = 15
 #: Characters of a line with few words: from the first number on equal ones go, from the second on similar ones.
 LEAST_CHARS, GRAM_CHARS, GRAM = 10, 20, 4
-#: Shares of what is left of the shorter line that are cut off where both are equal, one after another.
-SHARES = (1.0, 0.5, 0.5, 0.5, 0.25, 0.25, 0.25)
-#: Lines are compared in parts of about the first size, if they are long, then in so many parts from a length on, then as a whole.
-PART, PARTS, PARTED = 256, 8, 128
+#: Lines are first compared by a walk along their words from this length on.
+WALKED = 128
+#: Characters of one line that may be passed over, besides as many as of the other, until the next word of that is met.
+REACH = 24
+#: While buckets have over so many times their lines in pairs across groups, some of these are tested first, with so many neighbours of each line, in up to so many turns and while that share of them links.
+CROWDED, NEIGHBOURS, TURNS, WORTH = 4, 3, 6, 0.05
 _TOP = -(1 << 63)
 
 
@@ -93,10 +102,21 @@ def _occurrences(docs: DataFrame, min_words: int, id_col: str, text_col: str, bl
     # Lower 60 bits are the part's own; above them is what puts longer words first.
     first = lambda w: F.greatest(F.lit(0), F.least(F.lit(7), F.lit(LONG_WORD) - F.length(w))).cast("long")
     ranked = F.transform("words", lambda w: F.xxhash64(w).bitwiseAND(F.lit((1 << 60) - 1)).bitwiseOR(F.shiftleft(first(w), 60)))
-    lines = lines.select("doc", "pos", F.xxhash64("norm").alias("h1"), F.xxhash64("norm", F.lit("other")).alias("h2"), n.alias("len"), F.sort_array(F.array_distinct(ranked)).alias("hashes"))
+    known = ["doc", "pos", F.xxhash64("norm").alias("h1"), F.xxhash64("norm", F.lit("other")).alias("h2"), n.alias("len")]
     if not blocks:
-        return lines.select("doc", "pos", "h1", "h2", "len", _simhash(F.slice("hashes", 1, FEATURES)).alias("sim"))
-    return lines.select("doc", "pos", "h1", "h2", "len", *[F.get("hashes", F.lit(i)).alias(f"s{i + 1}") for i in range(SAMPLE)])
+        return lines.select(*known, F.sort_array(F.array_distinct(ranked)).alias("hashes")).select("doc", "pos", "h1", "h2", "len", _simhash(F.slice("hashes", 1, FEATURES)).alias("sim"))
+    spaced = F.size(F.split("norm", " ")) >= min_words
+    framed = F.when(spaced, F.concat(F.lit(" "), "norm", F.lit(" "))).otherwise(F.col("norm")).alias("framed")
+    lines = lines.select(*known, framed, spaced.alias("spaced"), "words", ranked.alias("ranked"))
+    lines = lines.withColumn("hashes", F.slice(F.sort_array(F.array_distinct("ranked")), 1, SAMPLE))
+    # A part's place is known if it is there once.
+    for i in range(SAMPLE):
+        part = F.get("words", F.array_position("ranked", F.get("hashes", F.lit(i))).cast("int") - 1)
+        lines = lines.withColumn(f"w{i + 1}", F.when(F.col("spaced"), F.concat(F.lit(" "), part, F.lit(" "))).otherwise(part))
+    lines = lines.withColumns({f"l{i + 1}": F.call_function("locate", F.col(f"w{i + 1}"), F.col("framed")) for i in range(SAMPLE)})
+    place = lambda i: F.when(F.call_function("locate", F.col(f"w{i}"), F.col("framed"), F.col(f"l{i}") + 1) == 0, F.col(f"l{i}")).alias(f"p{i}")
+    samples = range(1, SAMPLE + 1)
+    return lines.select("doc", "pos", "h1", "h2", "len", *[F.get("hashes", F.lit(i - 1)).alias(f"s{i}") for i in samples], *[place(i) for i in samples])
 
 
 def _distinct(occ: DataFrame) -> DataFrame:
@@ -114,7 +134,7 @@ def _range_keys() -> Column:
 
 
 def _block_keys() -> Column:
-    """SimHash blocks: the majority of the bits of every three of the sample, hashed anew for 64 bits; of a smaller sample, all of it."""
+    """SimHash blocks: the majority of the bits of every three of the sample, hashed anew for 64 bits, and the places of the three; of a smaller sample, all of it."""
     part = [F.col(f"s{i + 1}") for i in range(SAMPLE)]
     mixed = [F.xxhash64(x) for x in part]
     few = F.when(part[BLOCK - 1].isNull(), F.xxhash64(*part[: BLOCK - 1]))
@@ -122,28 +142,55 @@ def _block_keys() -> Column:
     def majority(a: Column, b: Column, c: Column) -> Column:
         return a.bitwiseAND(b).bitwiseOR(a.bitwiseAND(c)).bitwiseOR(b.bitwiseAND(c))
 
-    return F.array_compact(F.array(few, *[F.when(part[c[-1]].isNotNull(), majority(*[mixed[i] for i in c])) for c in combinations(range(SAMPLE), BLOCK)]))
+    unknown = F.lit(None).cast("int")
+    block = lambda key, places: F.when(key.isNotNull(), F.struct(key.alias("key"), *[x.alias(y) for x, y in zip(places, PLACES, strict=True)]))
+    of = lambda c: block(F.when(part[c[-1]].isNotNull(), majority(*[mixed[i] for i in c])), [F.col(f"p{i + 1}") for i in c])
+    return F.array_compact(F.array(block(few, [unknown] * BLOCK), *[of(c) for c in combinations(range(SAMPLE), BLOCK)]))
 
 
 def _close(n, m, similarity: float) -> Column:
     return n.isNotNull() & m.isNotNull() & (F.least(n, m) >= F.greatest(n, m) * F.lit(similarity) - 1e-9)
 
 
-def _near(rows: DataFrame, x: Column, y: Column) -> Column:
-    """Blocks are enough; ranges need SimHashes that are near."""
-    return F.bit_count(x.bitwiseXOR(y)) <= MAX_BITS if "sim" in rows.columns else F.lit(True)
+def _edits(n: Column, m: Column, similarity: float) -> Column:
+    """How many edits lines of these lengths may take."""
+    return F.floor(F.greatest(n, m) * F.lit(round(1 - similarity, 9)) + 1e-9)
+
+
+def _placed(x, y, similarity: float) -> Column:
+    """Whether the parts that two lines share leave few enough edits: they are in one order, and what is before, between and behind them takes the edits by which its lengths differ."""
+    a, b, c = PLACES
+    inner = lambda of: (of(a) + of(b) + of(c) - F.least(of(a), of(b), of(c)) - F.greatest(of(a), of(b), of(c)))
+    edges = lambda of: [F.lit(0), F.least(of(a), of(b), of(c)), inner(of), F.greatest(of(a), of(b), of(c)), of("len")]
+    order = [(x(i) < x(j)) == (y(i) < y(j)) for i, j in combinations(PLACES, 2)]
+    shifts = [q - p for p, q in zip(edges(x), edges(y), strict=True)]
+    least = sum((F.abs(t - s) for s, t in zip(shifts[1:], shifts[2:], strict=False)), F.abs(shifts[1]))
+    fits = order[0] & order[1] & order[2] & (least <= _edits(x("len"), y("len"), similarity))
+    return F.coalesce(fits, F.lit(True))  # parts that are there more than once are of no known place
+
+
+def _alike(known: list[str], x, y, similarity: float) -> Column:
+    """What two lines of a bucket must be like to be compared; ranges need SimHashes that are near."""
+    near = F.bit_count(x("sim").bitwiseXOR(y("sim"))) <= MAX_BITS if "sim" in known else _placed(x, y, similarity)
+    return _close(x("len"), y("len"), similarity) & near
 
 
 def _buckets(lines: DataFrame, similarity: float) -> DataFrame:
-    """``(key, node, len)``, and ``sim`` if there is one, of the lines with a neighbour by length in a bucket, and the one before."""
-    known = ["node", "len", *(["sim"] if "sim" in lines.columns else [])]
-    keyed = lines.select(*known, F.explode(_range_keys() if "sim" in known else _block_keys()).alias("key")).repartition("key")
-    order = Window.partitionBy("key").orderBy("len", "node")
-    rows = keyed.select("key", *known, *[F.lag(c).over(order).alias(f"prev_{c}") for c in known], F.lead("len").over(order).alias("next"))
+    """``(key, node, len)``, and ``sim`` or the parts' places, of the lines with a neighbour by length in a bucket, and those before it by length and by place."""
+    if "sim" in lines.columns:
+        known, keyed = ["node", "len", "sim"], lines.select("node", "len", "sim", F.explode(_range_keys()).alias("key"))
+        orders = [["len", "node"]]
+    else:
+        known, keyed = ["node", "len", *PLACES], lines.select("node", "len", F.inline(_block_keys()))
+        orders = [["len", "node"], [PLACES[0], "len", "node"]]
+    keyed = keyed.repartition("key")
+    by = [Window.partitionBy("key").orderBy(*o) for o in orders]
+    rows = keyed.select("key", *known, *[F.lag(F.struct(*known)).over(w).alias(f"prev{i}") for i, w in enumerate(by)], F.lead("len").over(by[0]).alias("next"))
     # By length, whoever has a close partner at all has one beside it.
-    before, after = _close(F.col("len"), F.col("prev_len"), similarity), _close(F.col("len"), F.col("next"), similarity)
-    near = _near(lines, F.col("sim"), F.col("prev_sim")) if "sim" in known else F.lit(True)
-    return rows.where(before | after).select("key", *known, F.when(before & near, F.col("prev_node")).alias("prev"))
+    n = F.col("len")
+    before, after = _close(n, F.col("prev0.len"), similarity), _close(n, F.col("next"), similarity)
+    prevs = [F.when(_alike(known, F.col, lambda c, i=i: F.col(f"prev{i}.{c}"), similarity), F.col(f"prev{i}.node")) for i in range(len(by))]
+    return rows.where(before | after).select("key", *known, F.array_compact(F.array(*prevs)).alias("prev"))
 
 
 def _texts(docs: DataFrame, lines: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -157,42 +204,29 @@ def _texts(docs: DataFrame, lines: DataFrame, nodes: DataFrame, id_col: str, tex
     return read.where((F.xxhash64("norm") == F.col("h1")) & (F.xxhash64("norm", F.lit("other")) == F.col("h2"))).select("node", "norm")
 
 
-def _verified(pairs: DataFrame, text: DataFrame, similarity: float) -> DataFrame:
-    """Those pairs ``(a, b)`` of lines whose edit similarity is enough.
+def _walked(x: Column, y: Column) -> Column:
+    """At least as many edits as ``y`` takes from ``x``: words of ``x`` are met in ``y`` one after another, what is passed over in between is replaced."""
+    longer = F.concat(y, F.lit(" "))
 
-    What both begin or end with takes no edits, so halves and quarters of the shorter line that
-    are equal there are cut off before.
-    """
+    def step(s, word):
+        w = F.concat(word, F.lit(" "))
+        near = F.struct(F.call_function("locate", w, longer.substr(s["at"], s["left"] + F.length(w) + REACH)).alias("hit"), F.length(w).alias("n"))
+        met = lambda m: F.when(m["hit"] > 0, F.struct((s["at"] + m["hit"] - 1 + m["n"]).alias("at"), F.lit(0).alias("left"), (s["edits"] + F.greatest(s["left"], m["hit"] - 1)).alias("edits")))
+        return F.get(F.transform(F.array(near), lambda m: met(m).otherwise(F.struct(s["at"], (s["left"] + m["n"]).alias("left"), s["edits"]))), F.lit(0))
+
+    start = F.struct(F.lit(1).alias("at"), F.lit(0).alias("left"), F.lit(0).alias("edits"))
+    return F.aggregate(F.split(x, " "), start, step, lambda s: s["edits"] + F.greatest(s["left"], F.length(longer) - s["at"] + 1))
+
+
+def _verified(pairs: DataFrame, text: DataFrame, similarity: float) -> DataFrame:
+    """Those pairs ``(a, b)`` of lines whose edit similarity is enough; for most long lines a walk along their words shows it, which is much cheaper."""
     side = lambda node, norm: text.select(F.col("node").alias(node), F.col("norm").alias(norm))
     both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
-    most = F.floor(F.greatest(F.length("x"), F.length("y")) * F.lit(round(1 - similarity, 9)) + 1e-9).cast("int")
-
-    def cut_off(front: bool):
-        def step(r, share):
-            n = F.floor(F.least(F.length(r["x"]), F.length(r["y"])) * share).cast("int")
-            part = (lambda t: t.substr(F.lit(1), n)) if front else (lambda t: F.right(t, n))
-            rest = (lambda t: t.substr(n + 1, F.length(t))) if front else (lambda t: t.substr(F.lit(1), F.length(t) - n))
-            same = part(r["x"]) == part(r["y"])
-            return F.struct(*[F.when(same, rest(r[c])).otherwise(r[c]).alias(c) for c in "xy"])
-
-        return step
-
-    def similar(r):
-        x, y = r["x"], r["y"]
-        size = F.greatest(F.length(x), F.length(y))
-        # Edits of the parts make edits of the whole, which is much cheaper to show for long lines.
-        def together(parts: Column) -> Column:
-            edge = lambda t, i: F.floor(F.length(t) * i / parts).cast("int")
-            part = lambda t, i: t.substr(edge(t, i) + 1, edge(t, i + 1) - edge(t, i))
-            return F.aggregate(F.sequence(F.lit(0), parts - 1), F.lit(0), lambda n, i: n + F.levenshtein(part(x, i), part(y, i))) <= most
-
-        long_ = (size >= 4 * PART) & together(F.floor(size / PART).cast("int"))
-        return F.when((size <= most) | long_, True).when((size >= PARTED) & together(F.lit(PARTS)), True).otherwise(F.call_function("levenshtein", x, y, most) >= 0)
-
-    shares = F.array(*[F.lit(s) for s in SHARES])
-    rest = F.aggregate(shares, F.aggregate(shares, F.struct("x", "y"), cut_off(True)), cut_off(False))
+    x, y = F.col("x"), F.col("y")
+    size, most = F.greatest(F.length("x"), F.length("y")), _edits(F.length("x"), F.length("y"), similarity).cast("int")
+    similar = (x == y) | (size >= WALKED) & (_walked(x, y) <= most) | (F.call_function("levenshtein", x, y, most) >= 0)
     # Rows of equal id and text may give a line twice.
-    return both.where(F.exists(F.array(rest), similar)).select("a", "b").distinct()
+    return both.where(similar).select("a", "b").distinct()
 
 
 def _grouped(docs: DataFrame, min_words: int, similarity: float, id_col: str, text_col: str, blocks: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -204,32 +238,50 @@ def _grouped(docs: DataFrame, min_words: int, similarity: float, id_col: str, te
     bucket = cut(_buckets(lines, similarity), "lines-buckets")
     texts = cut(_texts(docs, lines, bucket.select("node").distinct(), id_col, text_col), "lines-texts")
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    first = cut(bucket.where("prev <> node").select(*ordered("node", "prev")).distinct(), "lines-first")
+    first = cut(bucket.select("node", F.explode("prev").alias("prev")).where("prev <> node").select(*ordered("node", "prev")).distinct(), "lines-first")
     links = cut(_verified(first, texts, similarity), "lines-links")
     found = cut(components(links), "lines-components")
 
-    # What still spans groups: every pair of lines of different groups there is tested.
-    by_key = Window.partitionBy("key")
-    known = bucket.drop("prev").join(found, "node", "left").withColumn("c", F.coalesce("component", "node"))
-    known = known.repartition("key").withColumns({"lo": F.min("c").over(by_key), "hi": F.max("c").over(by_key)}).where("lo <> hi").drop("component", "lo", "hi")
-    known = cut(known, "lines-known")
+    # What still spans groups: every pair of lines of different groups there is tested; where these are many, groups grow by a few tests of each line before.
+    tested, by_key, worth = [first], Window.partitionBy("key"), True
+    for turn in range(TURNS + 1):
+        known = bucket.drop("prev").join(found, "node", "left").withColumn("c", F.coalesce("component", "node"))
+        known = known.repartition("key").withColumns({"lo": F.min("c").over(by_key), "hi": F.max("c").over(by_key)}).where("lo <> hi").drop("component", "lo", "hi")
+        known = cut(known, "lines-known")
+        alike = lambda x, y: (x("c") != y("c")) & _alike(known.columns, x, y, similarity)  # noqa: B023, E731
+        of = known.groupBy("key", "c").agg(F.count(F.lit(1)).cast("double").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+        size = of.agg(F.sum("n").alias("lines"), F.sum((F.col("n") * F.col("n") - F.col("own")) / 2).alias("pairs")).first()
+        if turn == TURNS or not worth or not size["lines"] or size["pairs"] <= CROWDED * size["lines"]:
+            break
+        mixed, row = by_key.orderBy(F.xxhash64("node", F.lit(turn)), "node"), F.struct(*[c for c in known.columns if c != "key"])
+        beside = [F.lag(row, i + 1).over(mixed).alias(f"prev{i}") for i in range(NEIGHBOURS)]
+        prevs = [F.when(alike(F.col, lambda c, i=i: F.col(f"prev{i}.{c}")), F.col(f"prev{i}.node")) for i in range(NEIGHBOURS)]
+        some = known.select("*", *beside).select("node", F.explode(F.array_compact(F.array(*prevs))).alias("prev")).select(*ordered("node", "prev")).distinct()
+        tested.append(cut(some, "lines-some"))
+        forget(known)
+        new = cut(_verified(tested[-1], texts, similarity), "lines-links")
+        worth = new.count() >= WORTH * tested[-1].count()
+        found = _joined(found, new)
+        forget(new)
     x, y = known.alias("x"), known.alias("y")
-    fits = _close(F.col("x.len"), F.col("y.len"), similarity)
-    if not blocks:
-        fits = fits & _near(known, F.col("x.sim"), F.col("y.sim"))
-    more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c")) & fits)
-    more = cut(more.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(first, ["a", "b"], "left_anti"), "lines-more")
+    more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & alike(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")))
+    more = more.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    more = cut(more.join(reduce(DataFrame.union, tested), ["a", "b"], "left_anti"), "lines-more")
     if not more.isEmpty():
-        # Groups so far are stars: new links join them by their members.
-        stars = found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-        after = cut(components(stars.union(_verified(more, texts, similarity))), "lines-components")
-        forget(found)
-        found = after
-    for table in (bucket, texts, first, links, known, more):
+        found = _joined(found, _verified(more, texts, similarity))
+    for table in (bucket, texts, links, known, more, *tested):
         forget(table)
     return occ, lines, found
 
 
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Groups with new links: groups so far are stars, which new links join by their members."""
+    stars = found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    after = cut(components(stars.union(links)), "lines-components")
+    forget(found)
+    return after
+
+
 def _lid(h1, h2) -> Column:
     """The 16 bytes that stand for a line, ordered as its number."""
     digits = lambda h: F.lpad(F.hex(h), 16, "0")

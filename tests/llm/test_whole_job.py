@@ -3,6 +3,8 @@
 import random
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
 from lattica.llm import langid, linededup
 
 
@@ -37,6 +39,54 @@ def test_line_dedup_finds_what_is_similar_whatever_its_bits(spark):
     assert few == len(set(group.values()))
 
 
+def test_shared_words_at_other_places_make_no_candidates(spark, monkeypatch):
+    """Lines that share long words in another order, or far from where they were, aren't compared; crowded buckets are linked in turns."""
+    rng = random.Random(6)
+    filler = lambda n: [f"w{rng.randrange(10**6):06}" for _ in range(n)]
+    long_words = [f"uncommonlylong{c}" for c in "abcde"]
+    rows = []
+    for i in range(12):
+        words = filler(30)
+        for at, w in zip(sorted(rng.sample(range(30), 5)), rng.sample(long_words, 5), strict=True):
+            words[at] = w
+        rows.append((i, " ".join(words)))
+    base = [*long_words, *filler(25)]
+    rng.shuffle(base)
+    for i in range(16):  # each from the one before, so that far ones aren't alike
+        base[i % 30] = base[i % 30] if base[i % 30] in long_words else filler(1)[0]
+        rows.append((100 + i, " ".join(base)))
+    seen, verified = [], linededup._verified
+    monkeypatch.setattr(linededup, "_verified", lambda pairs, *rest: (seen.extend(tuple(r) for r in pairs.collect()), verified(pairs, *rest))[1])
+    monkeypatch.setattr(linededup, "CROWDED", 0)
+    occ, groups = linededup.line_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), sketches=True)
+    group = {r["doc"]: bytes(r["group"]) for r in occ.join(groups, "lid").collect()}
+    parent = {i: i for i, _ in rows}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for (i, a), (j, b) in combinations(rows, 2):
+        if distance(a, b) <= 0.2 * max(len(a), len(b)):
+            parent[root(i)] = root(j)
+    assert all((group[i] == group[j]) == (root(i) == root(j)) for (i, _), (j, _) in combinations(rows, 2))
+    assert len(seen) < 12 * 11 / 2 + 16 * 15 / 2
+
+
+def test_walked_edits_are_no_fewer_than_edits(spark):
+    rng = random.Random(3)
+    pairs = []
+    for _ in range(60):
+        a = [rng.choice("ab bcd e  fgh".split(" ")) for _ in range(rng.randrange(0, 20))]
+        b = [w for w in a if rng.random() < 0.9] + [rng.choice(["x", "ab"])] * rng.randrange(0, 2)
+        pairs.append((" ".join(a), " ".join(b)))
+    got = spark.createDataFrame(pairs, "x string, y string").select("x", "y", linededup._walked(F.col("x"), F.col("y")).alias("n")).collect()
+    assert all(r["n"] >= distance(r["x"], r["y"]) for r in got)
+    same = spark.createDataFrame([("a long line of words", "a long line of words")], "x string, y string")
+    assert same.select(linededup._walked(F.col("x"), F.col("y"))).first()[0] == 0
+
+
 def test_line_dedup_of_lines_with_few_spaces(spark):
     chinese = "".join(chr(0x4E00 + (i * 37) % 900) for i in range(60))
     near = chinese[:30] + "变" + chinese[31:]
