@@ -157,6 +157,11 @@ def _matrix(texts: list[str | None]) -> np.ndarray:
     return np.concatenate([np.zeros((0, 16 + _N_KINDS)), *measures(pa.array([(t or "").encode() for t in texts], pa.binary()))])
 
 
+def _of(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Texts of a bounded sample of ids, which goes to the texts, so that these aren't shuffled."""
+    return rows.join(F.broadcast(chosen), "id", "left_semi").select("id", "text")
+
+
 def fit(docs: DataFrame, labels: DataFrame, held_out: int | None = 1, folds: int = 3, sample_docs: int = 3000, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Scorer:
     """Train on bounded samples of the folds that aren't held out."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
@@ -166,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int | None = 1, folds: int
         rows, marks = (x.where(fold(F.col("id"), folds) != held_out) for x in (rows, marks))
     known = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     chosen = bounded_sample(marks.where("y = 1"), "y", "id", sample_docs)
-    trusted = rows.join(chosen, "id", "left_semi").select("id", "text").collect()
+    trusted = _of(rows, chosen).collect()
     web = bounded_sample(rows.withColumn("all", F.lit(1)), "all", "id", 2 * sample_docs).select("id", "text").collect()
     prior = known.get(1, 0) / (known.get(0, 0) + known.get(1, 0)) if known.get(0) and known.get(1) else None
     of = lambda got: _matrix([t for _, t in sorted((r["id"], r["text"] or "") for r in got)])

@@ -5,7 +5,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from lattica.llm import langid, linededup
+from lattica.llm import langid, linededup, quality
 
 
 def distance(a, b):
@@ -111,3 +111,16 @@ def test_training_takes_pieces_from_all_of_a_text():
     import pyarrow as pa
 
     assert [x[0] for x in langid.label_texts(model, pa.array([b"lateword lateword", b"otherend otherend"], pa.binary()))] == ["a", "b"]
+
+
+def test_texts_are_not_shuffled_for_a_sample(spark):
+    """Without the hint, larger labels had every text shuffled for some three thousand ids."""
+    rows = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "id bigint, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = quality._of(rows, rows.where("id % 5 = 0").select("id"))
+        assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r["id"] for r in got.collect()) == [0, 5, 10, 15]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
