@@ -8,14 +8,16 @@ entropy to the base of the pages), a content as important as few different pages
 of their blocks, so copies and near copies of one article count once: what they share is
 still an article, what different articles share is furniture.
 
-On a page, a block's importance is that of its content; a branch's composite importance is
-that of its blocks, weighed by their text, times what its presentation takes off. What markup
-says is a prior that multiplies it: nothing for navigation, footers, asides, forms, scripts
-and the like; a third for names that only say advert, comments, cookie notice and the like;
-more than half for names that may say so. Branches below ``LOW`` go, and those of any name
-whose composite importance is below ``LOW_TEXT``. So a plainly named branch stays where its
-presentation is known to vary from page to page, as articles' does and templates' doesn't;
-what is only seen on a few pages counts as a template there, and its content as important.
+A leaf's importance is that of its contents, unless it has a name. The composite importance of a branch with l styles
+is (1 - g^l) of its presentation's importance and g^l of its parts', weighed by their text; g is
+``DAMPING``. A branch is noise, and goes, if neither it nor any branch or content in it
+reaches ``LOW_TEXT``. What markup says is a prior that multiplies it: nothing for navigation, footers,
+asides, forms, scripts and the like; a third for names that only say advert, comments, cookie
+notice and the like; more than half for names that may say so. As far as a path's presentation
+varies from page to page, as articles' does and templates' doesn't, the prior counts for less.
+Below ``LOW`` a plainly named branch goes as a whole, one of a doubtful name if all in it is as
+low. A path on few pages has one style and important contents; contents in named branches count
+as wholly important from ``LOW / DOUBTFUL`` on, others from ``LOW_TEXT`` on.
 
 The article is what remains of ``article`` elements, else of ``main``, else of an element
 named as content, else of the page.
@@ -46,10 +48,8 @@ from .textnp import IdFilter, id_filter
 
 #: Paths on fewer different pages of a host have no statistics to speak of.
 MIN_PAGES = 8
-#: Branches below the first with their prior, or below the second without it, go; what a presentation that doesn't vary takes off.
-LOW, LOW_TEXT, PRESENTATION = 0.3, 0.1, 0.1
-#: A path whose presentation is at least as important varies; below it is a template.
-TEMPLATE = 0.3
+#: Branches below the first with their prior, or below the second without it, go; how little further styles take from the weight of what is in a branch.
+LOW, LOW_TEXT, DAMPING = 0.3, 0.1, 0.9
 #: Priors by markup: for plain and for doubtful names.
 PLAIN, DOUBTFUL = 0.33, 0.6
 SALTS = 16
@@ -388,52 +388,64 @@ def _parts(html: str, host: str) -> tuple[list[Node], list[Node], list[str]]:
     return roots, units, [_own_text(n) for n in units]
 
 
-def extract(html: str | None, facts=None, host: str = "") -> tuple[str, bool]:
-    """Main text, and whether ``facts`` holds for something on the page.
+def composite(importance, styles, parts):
+    """Composite importance of a branch: of its presentation, which has so many styles, and of its parts."""
+    inner = DAMPING**styles
+    return (1 - inner) * importance + inner * parts
 
-    ``facts(keys)`` says which keys are contents of low importance or paths whose presentation
-    is known to vary; without it nothing is known of the site.
+
+def trusted(prior, importance):
+    """A prior, for which a presentation that varies counts less."""
+    return prior + (1 - prior) * importance * importance
+
+
+def extract(html: str | None, facts: dict | None = None, host: str = "", telling=None) -> tuple[str, bool]:
+    """Main text, and whether ``telling(keys)`` holds for something on the page, which then needs its site's facts and gives no text.
+
+    ``facts`` are importance and number of styles (none for a content) by key; without them
+    nothing is known of the site.
     """
     if not html:
         return "", False
     roots, units, texts = _parts(html, host)
-    said: dict[int, bool] = {}
-    paths = [int(n.path) if n.parent is not None and n.prior <= PLAIN else None for n in units]
     contents = [node_key(n.path, t) if t else None for n, t in zip(units, texts, strict=True)]
-    if facts is not None and (keys := [k for k in (*paths, *contents) if k is not None]):
-        said = dict(zip(keys, facts(np.array(keys, np.int64)).tolist(), strict=True))
-    importance: dict[int, tuple[float, int]] = {}
+    if telling is not None:
+        keys = [k for k in contents if k is not None] + [int(n.path) for n in units if n.parent is not None and n.prior <= PLAIN]
+        if keys and telling(np.array(keys, np.int64)).any():
+            return "", True
+    known = facts or {}
+    low: set[int] = set()
     sums: dict[int, list[float]] = {}
-    for n, text, path, content in zip(reversed(units), reversed(texts), reversed(paths), reversed(contents), strict=True):
-        total, size = sums.pop(id(n), (0.0, 0))
+    for n, text, content in zip(reversed(units), reversed(texts), reversed(contents), strict=True):
+        total, size, most = sums.pop(id(n), (0.0, 0, 0.0))
+        leaf, own = not size, known.get(content, (1.0, 0))[0]
         size += len(text)
-        total += 0.0 if said.get(content) else len(text)
-        value = total / size if size else 1.0
-        if path is not None and not said.get(path):
-            value *= 1 - PRESENTATION  # a template, as far as is known
-        importance[id(n)] = (value, size)
+        total += own * len(text)
+        importance, styles = known.get(int(n.path), (0.0, 1)) if n.parent is not None else (0.0, 1)
+        parts = total / size if size else 1.0
+        value = parts if leaf and n.prior == 1 else composite(importance, styles, parts)
+        most = max(most, value, own if text else 0.0)
+        prior = trusted(n.prior, importance)
+        if size and (most < LOW_TEXT or prior * (value if n.prior <= PLAIN else most) < LOW and n.prior < 1):
+            low.add(id(n))
         up = n.parent
         while up is not None and not _unit(up):
             up = up.parent
         if up is not None:
-            of = sums.setdefault(id(up), [0.0, 0])
-            of[0], of[1] = of[0] + value * size, of[1] + size
+            of = sums.setdefault(id(up), [0.0, 0, 0.0])
+            of[0], of[1], of[2] = of[0] + value * size, of[1] + size, max(of[2], most if size else 0.0)
     whole = roots[0].tag == "#root"
+    return "\n".join(blocks(roots, lambda n: n.prior == 0 or whole and n.top or id(n) in low)), False
 
-    def gone(n: Node) -> bool:
-        if n.prior == 0 or whole and n.top:
-            return True
-        value, size = importance.get(id(n), (1.0, 0))
-        return size > 0 and (n.prior * value < LOW or value < LOW_TEXT)
 
-    return "\n".join(blocks(roots, gone)), any(said.values())
-
-
-_STATS = ["site", "path", "content", "style", "page"]
+_STATS = {"site": pa.int64(), "path": pa.int64(), "content": pa.int64(), "style": pa.int64(), "page": pa.int64(), "named": pa.bool_(), "inside": pa.bool_(), "doubted": pa.bool_()}
 
 
 def _survey(batches):
-    """Per different page of a task: digest of the host, key of a path, key of its content or digest of its style, least digest of the page's texts."""
+    """Per different page of a task: digest of the host, key of a path, key of its content, digest of its style, least digest of the page's texts, whether the path is plainly named, in a named branch and in one of a doubtful name.
+
+    Outside named branches presentation decides nothing: all text there is a leaf's or a branch's own, which goes by its content.
+    """
     for batch in batches:
         rows: set[tuple] = set()
         for html, host in zip(batch.column("html"), batch.column("host").to_pylist(), strict=True):
@@ -442,28 +454,35 @@ def _survey(batches):
                 continue
             _, units, texts = _parts(html, host)
             page, site = min((node_key(t) for t in texts if t), default=0), node_key(host)
+            marks: dict[int, tuple[bool, bool]] = {}
             for n, text in zip(units, texts, strict=True):
-                path, named = node_key(n.path), n.parent is not None and n.prior <= PLAIN
-                if text or named:
-                    rows.add((site, int(n.path) if named else path, node_key(n.path, text) if text else None, node_key(_style(n)) if named else None, page))
+                up = n.parent
+                while up is not None and not _unit(up):
+                    up = up.parent
+                inside, doubted = marks.get(id(up), (False, False))
+                inside, doubted = marks[id(n)] = inside or n.prior < 1, doubted or PLAIN < n.prior < 1
+                if not (text or inside):
+                    continue
+                path, content = node_key(n.path) if n.parent is None else int(n.path), node_key(n.path, text) if text else None
+                rows.add((site, path, content, node_key(_style(n)) if inside else None, page, n.prior <= PLAIN, inside, doubted))
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=_STATS)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _STATS.values(), strict=True)], names=list(_STATS))
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """Merged tree of ``pages(host, html)``: ``site, key, pages, importance, content`` of the contents that several pages share and of the named paths' presentation."""
-    stats = cut(map_batches(pages, _survey, "site long, path long, content long, style long, page long"), "pages-stats")
+    """Merged tree of ``pages(host, html)``: ``site, key, pages, importance, content, styles, named, inside, doubted`` of the contents that several pages share and of the presentation of paths in named branches."""
+    stats = cut(map_batches(pages, _survey, "site long, path long, content long, style long, page long, named boolean, inside boolean, doubted boolean"), "pages-stats")
     one = F.lit(1)
-    by_path = stats.groupBy("path", "page").agg(F.max("style").alias("style"), F.max("site").alias("site"))
+    by_path = stats.groupBy("path", "page").agg(F.max("style").alias("style"), F.max("site").alias("site"), F.max("named").alias("named"))
     pages_of = by_path.groupBy("path").agg(F.count(one).alias("m"))
     base = F.greatest(F.log("m"), F.lit(1e-9))
-    alike = by_path.where("style is not null").groupBy("site", "path", "style").agg(F.count(one).alias("c"))
-    alike = alike.groupBy("site", "path").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("same"))
+    alike = by_path.where("style is not null").groupBy("site", "path", "style").agg(F.count(one).alias("c"), F.max("named").alias("named"))
+    alike = alike.groupBy("site", "path").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("same"), F.count(one).cast("int").alias("styles"), F.max("named").alias("named"))
     presentation = F.when(F.col("m") < 2, 1.0).otherwise((F.log("m") - F.col("same") / F.col("m")) / base)
-    paths = alike.select("site", F.col("path").alias("key"), F.col("m").alias("pages"), presentation.alias("importance"), F.lit(False).alias("content"))
-    shared = stats.where("content is not null").groupBy("content", "page").agg(F.max("path").alias("path"), F.max("site").alias("site"))
-    shared = shared.groupBy("content").agg(F.count(one).alias("k"), F.max("path").alias("path"), F.max("site").alias("site")).where("k > 1")
-    contents = shared.join(pages_of, "path").select("site", F.col("content").alias("key"), F.col("m").alias("pages"), (1 - F.log("k") / base).alias("importance"), F.lit(True).alias("content"))
+    paths = alike.select("site", F.col("path").alias("key"), F.col("m").alias("pages"), presentation.alias("importance"), F.lit(False).alias("content"), "styles", "named", F.lit(True).alias("inside"), F.lit(False).alias("doubted"))
+    shared = stats.where("content is not null").groupBy("content", "page").agg(*[F.max(c).alias(c) for c in ("path", "site", "inside", "doubted")])
+    shared = shared.groupBy("content").agg(F.count(one).alias("k"), *[F.max(c).alias(c) for c in ("path", "site", "inside", "doubted")]).where("k > 1")
+    contents = shared.join(pages_of, "path").select("site", F.col("content").alias("key"), F.col("m").alias("pages"), (1 - F.log("k") / base).alias("importance"), F.lit(True).alias("content"), F.lit(0).alias("styles"), F.lit(False).alias("named"), "inside", "doubted")
     return paths.union(contents)
 
 
@@ -472,26 +491,31 @@ def extract_text(pages: DataFrame, html_col: str = "html", url_col: str = "url",
     keep = tuple(pages.columns) if keep is None else keep
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col), r"^[^/?#]*//(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
     rows = pages.select(*[F.col(f"`{c}`").alias(f"in_{c}") for c in keep], host.alias("host"), F.col(html_col).cast("string").alias("html"))
-    telling = F.when(F.col("content"), F.col("importance") < LOW_TEXT).otherwise(F.col("importance") >= TEMPLATE)
-    facts = cut(style_tree(rows.select("host", "html")).where((F.col("pages") >= MIN_PAGES) & telling).select("site", "key"), "pages-facts")
-    chosen = id_filter(facts, "key", facts.count())
+    # Without these facts a page's text is the same: contents that are low, in branches of a doubtful name too low for that, presentations that may save a plain one.
+    importance = F.col("importance")
+    saved = trusted(PLAIN, importance) * composite(importance, F.col("styles"), F.lit(1.0)) >= LOW
+    low = lambda where: importance < F.when(F.col(where), LOW / DOUBTFUL).otherwise(LOW_TEXT)
+    telling = F.when(F.col("content"), low("doubted")).otherwise(F.col("named") & saved)
+    known = style_tree(rows.select("host", "html")).where((F.col("pages") >= MIN_PAGES) & F.when(F.col("content"), low("inside")).otherwise(F.col("styles") > 1))
+    facts = cut(known.select("site", "key", "importance", "styles", telling.alias("telling")), "pages-facts")
+    told = facts.where("telling")
+    chosen = id_filter(told, "key", told.count())
 
     def first(batches):
         admit = IdFilter(*chosen.value).admit
-        yield from _texts(batches, lambda i, batch: admit)
+        yield from _texts(batches, lambda batch, i: {"telling": admit})
 
     def second(batches):
-        def exact(i, batch):
-            known = np.array(batch.column("facts")[i].as_py() or [], np.int64)
-            return lambda keys: np.isin(keys, known)
+        def of_site(batch, i):
+            return {"facts": {x["key"]: (x["importance"], x["styles"]) for x in batch.column("facts")[i].as_py() or []}}
 
-        yield from _texts(batches, exact)
+        yield from _texts(batches, of_site)
 
     schema = rows.withColumns({"text": F.lit(""), "again": F.lit(True), "site": F.lit(0).cast("long")}).schema
     for f in schema:
         f.nullable = True
     done = cut(map_batches(rows, first, schema), "pages-text")
-    lists = facts.groupBy("site").agg(F.collect_set("key").alias("facts"))  # as many as a site's templates have branches
+    lists = facts.groupBy("site").agg(F.collect_list(F.struct("key", "importance", "styles")).alias("facts"))  # as many as a site's templates have branches
     lists = lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     open_ = done.where("again").drop("text", "again").withColumn("salt", F.pmod(F.xxhash64("html"), F.lit(SALTS)).cast("int"))
     open_ = open_.join(lists, ["site", "salt"], "left").select(*rows.columns, "facts")
@@ -500,12 +524,12 @@ def extract_text(pages: DataFrame, html_col: str = "html", url_col: str = "url",
     return replace_columns(named, {"text": F.col("__text"), "n_chars": F.length("__text").cast("long")}).drop("__text")
 
 
-def _texts(batches, test_of):
+def _texts(batches, known_of):
     for batch in batches:
         texts, again, html = [], [], batch.column("html")
         hosts = batch.column("host").to_pylist()
         for i in range(batch.num_rows):
-            text, found = extract(html[i].as_py(), test_of(i, batch), hosts[i])
+            text, found = extract(html[i].as_py(), host=hosts[i], **known_of(batch, i))
             texts.append(text)
             again.append(found)
         names = [n for n in batch.schema.names if n != "facts"]

@@ -128,6 +128,27 @@ def test_style_tree_by_brute_force(spark):
     assert got == want and got
 
 
+def test_composite_importance_joins_presentation_and_parts():
+    page = "<article><h1>T</h1><div class='promo'><p>one</p><p>two</p></div><div class='box'><p>three</p><p>four</p></div></article>"
+    root = htmltext.parse(page)
+    _, units, _ = htmltext._parts(page, "h")
+    path = {n.sign: int(n.path) for n in units}
+    p = {t: htmltext.node_key(n.path, t) for n in units for t in [htmltext._own_text(n)] if t}
+    text = lambda facts: htmltext.extract(page, facts, "h")[0].split("\n")
+    assert root.children and text({}) == ["T", "three", "four"]
+    # By the formula: ten styles of importance 0.8 over parts of 0.9; two of 0.1 leave a template.
+    assert abs(htmltext.composite(0.8, 10, 0.9) - (0.8 * (1 - 0.9**10) + 0.9 * 0.9**10)) < 1e-12
+    assert text({path["div.promo"]: (0.8, 10)}) == ["T", "one", "two", "three", "four"]
+    assert text({path["div.promo"]: (0.1, 2)}) == ["T", "three", "four"]
+    # The same presentation saves no parts that different pages share.
+    assert text({path["div.promo"]: (0.5, 2), p["one"]: (0.0, 0), p["two"]: (0.0, 0)}) == ["T", "three", "four"]
+    # Many rare styles of a path take nothing from contents that only this page has; shared ones go whatever their styles.
+    assert text({int(n.path): (0.005, 60) for n in units if n.tag == "p"}) == ["T", "three", "four"]
+    assert text({k: (0.5, 9) for k in map(int, {n.path for n in units if n.tag == "p"})} | {p["three"]: (0.0, 0)}) == ["T", "four"]
+    # A branch whose own importance is low stays for what is important in it, and only that.
+    assert text({path["div.box"]: (0.01, 60), p["three"]: (0.0, 0)}) == ["T", "four"]
+
+
 def test_names_alone_remove_no_prose_and_broken_pages_are_linear():
     text = lambda x: htmltext.extract(x)[0]
     assert text('<article><h1>t</h1><div class="related-work"><p>prose</p></div><section id="discussion"><p>more</p></section></article>') == "t\nprose\nmore"
