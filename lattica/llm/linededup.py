@@ -21,7 +21,8 @@ of lines the occurrence with the smallest ``(doc_id, position)`` stays and the o
 
 Pairs aren't all made: neighbours by length and by place in each bucket are linked first, then
 in crowded buckets some neighbours of other groups, and only buckets that still span several
-groups have all pairs across groups tested, so no candidate is lost.
+groups have all pairs across groups tested, so no candidate is lost. Lines that share several
+buckets make one pair, in the first of these in which they are candidates.
 A line is known by two 64-bit hashes; in graphs by one of them, which lines with an equal
 first hash don't share.
 
@@ -175,6 +176,27 @@ def _alike(known: list[str], x, y, similarity: float) -> Column:
     return _close(x("len"), y("len"), similarity) & near
 
 
+def _once(known: DataFrame) -> DataFrame:
+    """``known`` with ``earlier``, the line's blocks of smaller keys: of the buckets that two lines share only the first in which they are alike makes a pair of them."""
+    before = Window.partitionBy("node").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    return known.withColumn("earlier", F.collect_list(F.struct("key", *[c for c in known.columns if c not in ("node", "key", "len", "c")])).over(before))
+
+
+def _met(known: list[str], x: str, y: str, similarity: float) -> Column:
+    """Whether an earlier bucket makes a pair of the rows ``x`` and ``y``."""
+    of = lambda row, block: lambda c: F.col(f"{row}.len") if c == "len" else block[c]
+    keys = F.arrays_overlap(F.col(f"{x}.earlier.key"), F.col(f"{y}.earlier.key"))
+    return keys & F.exists(f"{x}.earlier", lambda b: F.exists(f"{y}.earlier", lambda d: (b["key"] == d["key"]) & _alike(known, of(x, b), of(y, d), similarity)))
+
+
+def _pairs(known: DataFrame, similarity: float) -> DataFrame:
+    """Each pair ``(a, b)`` of lines of different groups that are alike in a bucket, once whatever number of buckets they share."""
+    x, y = lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")
+    rows = _once(known)
+    both = (x("key") == y("key")) & (x("node") < y("node")) & (x("c") != y("c")) & _alike(known.columns, x, y, similarity)
+    return rows.alias("x").join(rows.alias("y"), both & ~_met(known.columns, "x", "y", similarity)).select(x("node").alias("a"), y("node").alias("b"))
+
+
 def _buckets(lines: DataFrame, similarity: float) -> DataFrame:
     """``(key, node, len)``, and ``sim`` or the parts' places, of the lines with a neighbour by length in a bucket, and those before it by length and by place."""
     if "sim" in lines.columns:
@@ -263,10 +285,7 @@ def _grouped(docs: DataFrame, min_words: int, similarity: float, id_col: str, te
         worth = new.count() >= WORTH * tested[-1].count()
         found = _joined(found, new)
         forget(new)
-    x, y = known.alias("x"), known.alias("y")
-    more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & alike(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")))
-    more = more.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    more = cut(more.join(reduce(DataFrame.union, tested), ["a", "b"], "left_anti"), "lines-more")
+    more = cut(_pairs(known, similarity).join(reduce(DataFrame.union, tested), ["a", "b"], "left_anti"), "lines-more")
     if not more.isEmpty():
         found = _joined(found, _verified(more, texts, similarity))
     for table in (bucket, texts, links, known, more, *tested):

@@ -124,3 +124,12 @@ def test_texts_are_not_shuffled_for_a_sample(spark):
         assert sorted(r["id"] for r in got.collect()) == [0, 5, 10, 15]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_lines_of_several_buckets_make_one_pair(spark):
+    """Lines with all of their sample in common share ten buckets; a part that was moved leaves the buckets without it."""
+    places = {1: [10, 20, 30, 40, 50], 2: [10, 20, 30, 40, 50], 3: [90, 20, 30, 40, 50], 4: [10, 90, 30, 80, 50]}
+    rows = [(node, key, 100, *[at[i] for i in c], node) for node, at in places.items() for key, c in enumerate(combinations(range(5), 3))]
+    known = spark.createDataFrame(rows, "node bigint, key bigint, len int, pa int, pb int, pc int, c bigint")
+    # 1 and 2 meet everywhere, 3 meets them where its first part isn't asked, 4 where its second and fourth aren't.
+    assert sorted(tuple(r) for r in linededup._pairs(known, 0.8).collect()) == [(1, 2), (1, 3), (1, 4), (2, 3), (2, 4)]
