@@ -46,16 +46,20 @@ RANGES = ((0, 12), (12, 12), (24, 12), (36, 12), (48, 12))
 MAX_BITS = 3
 #: Parts of a sample, how many of them make a block, and from which length on all words come first alike.
 SAMPLE, BLOCK, LONG_WORD = 5, 3, 11
+#: Words of this length and more are ranked without the others where there are enough for a sample; it changes no sample.
+ENOUGH = 8
 #: Columns with the places of a block's parts.
 PLACES = ("pa", "pb", "pc")
 #: Parts with weight in a line's one SimHash.
 FEATURES = 15
 #: Characters of a line with few words: from the first number on equal ones go, from the second on similar ones.
 LEAST_CHARS, GRAM_CHARS, GRAM = 10, 20, 4
-#: Lines are first compared by a walk along their words from this length on.
-WALKED = 128
+#: Lines are first compared by a walk along their words from this length on; where few are alike, from the second on.
+WALKED, WALKED_ANYWAY = 128, 4096
 #: Characters of one line that may be passed over, besides as many as of the other, until the next word of that is met.
 REACH = 24
+#: Parts for each core of the pairs that a walk doesn't tell to be alike.
+PARTS_PER_CORE = 8
 #: While buckets have over so many times their lines in pairs across groups, some of these are tested first, with so many neighbours of each line, in up to so many turns and while that share of them links.
 CROWDED, NEIGHBOURS, TURNS, WORTH = 4, 3, 6, 0.05
 _TOP = -(1 << 63)
@@ -97,27 +101,33 @@ def _simhash(hashes: Column) -> Column:
 def _occurrences(docs: DataFrame, min_words: int, id_col: str, text_col: str, blocks: bool) -> DataFrame:
     """``(doc, pos, h1, h2, len)`` of the lines with enough words or characters, and their sample ``s1, ..., s5`` or their one SimHash ``sim``."""
     n = F.length("norm")
-    lines = _lines(docs, id_col, text_col).withColumn("words", F.split("norm", " ")).where((F.size("words") >= min_words) | (n >= LEAST_CHARS))
+    parted = lambda: F.split("norm", " ")
+    # Nearly all lines have enough characters, and then their words aren't counted for this.
+    lines = _lines(docs, id_col, text_col).where((n >= LEAST_CHARS) | (F.size(parted()) >= min_words)).withColumn("words", parted()).withColumn("spaced", F.size("words") >= min_words)
     grams = F.transform(F.sequence(F.lit(1), n - (GRAM - 1)), lambda i: F.col("norm").substr(i, F.lit(GRAM)))
-    lines = lines.withColumn("words", F.when(F.size("words") >= min_words, F.col("words")).when(n >= GRAM_CHARS, grams).otherwise(F.array("norm")))
+    lines = lines.withColumn("words", F.when(F.col("spaced"), F.col("words")).when(n >= GRAM_CHARS, grams).otherwise(F.array("norm")))
+    if blocks:
+        # Longer words come first, so lines with enough of them are sampled from these alone.
+        lines = lines.withColumn("long", F.filter("words", lambda w: F.length(w) >= ENOUGH))
+        lines = lines.withColumn("words", F.when(F.size(F.array_distinct("long")) >= SAMPLE, F.col("long")).otherwise(F.col("words"))).drop("long")
     # Lower 60 bits are the part's own; above them is what puts longer words first.
     first = lambda w: F.greatest(F.lit(0), F.least(F.lit(7), F.lit(LONG_WORD) - F.length(w))).cast("long")
     ranked = F.transform("words", lambda w: F.xxhash64(w).bitwiseAND(F.lit((1 << 60) - 1)).bitwiseOR(F.shiftleft(first(w), 60)))
     known = ["doc", "pos", F.xxhash64("norm").alias("h1"), F.xxhash64("norm", F.lit("other")).alias("h2"), n.alias("len")]
     if not blocks:
         return lines.select(*known, F.sort_array(F.array_distinct(ranked)).alias("hashes")).select("doc", "pos", "h1", "h2", "len", _simhash(F.slice("hashes", 1, FEATURES)).alias("sim"))
-    spaced = F.size(F.split("norm", " ")) >= min_words
-    framed = F.when(spaced, F.concat(F.lit(" "), "norm", F.lit(" "))).otherwise(F.col("norm")).alias("framed")
-    lines = lines.select(*known, framed, spaced.alias("spaced"), "words", ranked.alias("ranked"))
+    framed = F.when(F.col("spaced"), F.concat(F.lit(" "), "norm", F.lit(" "))).otherwise(F.col("norm")).alias("framed")
+    lines = lines.select(*known, framed, "spaced", "words", ranked.alias("ranked"))
     lines = lines.withColumn("hashes", F.slice(F.sort_array(F.array_distinct("ranked")), 1, SAMPLE))
-    # A part's place is known if it is there once.
-    for i in range(SAMPLE):
-        part = F.get("words", F.array_position("ranked", F.get("hashes", F.lit(i))).cast("int") - 1)
-        lines = lines.withColumn(f"w{i + 1}", F.when(F.col("spaced"), F.concat(F.lit(" "), part, F.lit(" "))).otherwise(part))
-    lines = lines.withColumns({f"l{i + 1}": F.call_function("locate", F.col(f"w{i + 1}"), F.col("framed")) for i in range(SAMPLE)})
-    place = lambda i: F.when(F.call_function("locate", F.col(f"w{i}"), F.col("framed"), F.col(f"l{i}") + 1) == 0, F.col(f"l{i}")).alias(f"p{i}")
+    # A part's place is known if it is in the list once.
     samples = range(1, SAMPLE + 1)
-    return lines.select("doc", "pos", "h1", "h2", "len", *[F.get("hashes", F.lit(i - 1)).alias(f"s{i}") for i in samples], *[place(i) for i in samples])
+    lines = lines.withColumn("turned", F.reverse("ranked"))
+    once = lambda i: F.array_position("ranked", F.col(f"s{i}")) + F.array_position("turned", F.col(f"s{i}")) == F.size("ranked") + 1
+    lines = lines.withColumns({f"s{i}": F.get("hashes", F.lit(i - 1)) for i in samples})
+    part = lambda i: F.get("words", F.array_position("ranked", F.col(f"s{i}")).cast("int") - 1)
+    framed = lambda i: F.when(F.col("spaced"), F.concat(F.lit(" "), part(i), F.lit(" "))).otherwise(part(i))
+    place = lambda i: F.when(once(i), F.call_function("locate", framed(i), F.col("framed"))).alias(f"p{i}")
+    return lines.select("doc", "pos", "h1", "h2", "len", *[f"s{i}" for i in samples], *[place(i) for i in samples])
 
 
 def _distinct(occ: DataFrame) -> DataFrame:
@@ -146,7 +156,7 @@ def _block_keys() -> Column:
     unknown = F.lit(None).cast("int")
     block = lambda key, places: F.when(key.isNotNull(), F.struct(key.alias("key"), *[x.alias(y) for x, y in zip(places, PLACES, strict=True)]))
     of = lambda c: block(F.when(part[c[-1]].isNotNull(), majority(*[mixed[i] for i in c])), [F.col(f"p{i + 1}") for i in c])
-    return F.array_compact(F.array(block(few, [unknown] * BLOCK), *[of(c) for c in combinations(range(SAMPLE), BLOCK)]))
+    return F.array(block(few, [unknown] * BLOCK), *[of(c) for c in combinations(range(SAMPLE), BLOCK)])
 
 
 def _close(n, m, similarity: float) -> Column:
@@ -203,16 +213,17 @@ def _buckets(lines: DataFrame, similarity: float) -> DataFrame:
         known, keyed = ["node", "len", "sim"], lines.select("node", "len", "sim", F.explode(_range_keys()).alias("key"))
         orders = [["len", "node"]]
     else:
-        known, keyed = ["node", "len", *PLACES], lines.select("node", "len", F.inline(_block_keys()))
+        known, keyed = ["node", "len", *PLACES], lines.select("node", "len", F.inline(_block_keys())).where("key is not null")
         orders = [["len", "node"], [PLACES[0], "len", "node"]]
     keyed = keyed.repartition("key")
     by = [Window.partitionBy("key").orderBy(*o) for o in orders]
-    rows = keyed.select("key", *known, *[F.lag(F.struct(*known)).over(w).alias(f"prev{i}") for i, w in enumerate(by)], F.lead("len").over(by[0]).alias("next"))
-    # By length, whoever has a close partner at all has one beside it.
-    n = F.col("len")
-    before, after = _close(n, F.col("prev0.len"), similarity), _close(n, F.col("next"), similarity)
+    # By length, whoever has a close partner at all has one beside it; most lines have none, and go before anything else is asked.
+    n, row = F.col("len"), F.struct(*known)
+    before, after = _close(n, F.lag("len").over(by[0]), similarity), _close(n, F.lead("len").over(by[0]), similarity)
+    rows = keyed.select("key", *known, (before | after).alias("close")).where("close")
+    rows = rows.select("key", *known, *[F.lag(row).over(w).alias(f"prev{i}") for i, w in enumerate(by)])
     prevs = [F.when(_alike(known, F.col, lambda c, i=i: F.col(f"prev{i}.{c}"), similarity), F.col(f"prev{i}.node")) for i in range(len(by))]
-    return rows.where(before | after).select("key", *known, F.array_compact(F.array(*prevs)).alias("prev"))
+    return rows.select("key", *known, F.array_compact(F.array(*prevs)).alias("prev"))
 
 
 def _texts(docs: DataFrame, lines: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -227,28 +238,47 @@ def _texts(docs: DataFrame, lines: DataFrame, nodes: DataFrame, id_col: str, tex
 
 
 def _walked(x: Column, y: Column) -> Column:
-    """At least as many edits as ``y`` takes from ``x``: words of ``x`` are met in ``y`` one after another, what is passed over in between is replaced."""
-    longer = F.concat(y, F.lit(" "))
-
-    def step(s, word):
-        w = F.concat(word, F.lit(" "))
-        near = F.struct(F.call_function("locate", w, longer.substr(s["at"], s["left"] + F.length(w) + REACH)).alias("hit"), F.length(w).alias("n"))
-        met = lambda m: F.when(m["hit"] > 0, F.struct((s["at"] + m["hit"] - 1 + m["n"]).alias("at"), F.lit(0).alias("left"), (s["edits"] + F.greatest(s["left"], m["hit"] - 1)).alias("edits")))
-        return F.get(F.transform(F.array(near), lambda m: met(m).otherwise(F.struct(s["at"], (s["left"] + m["n"]).alias("left"), s["edits"]))), F.lit(0))
-
-    start = F.struct(F.lit(1).alias("at"), F.lit(0).alias("left"), F.lit(0).alias("edits"))
-    return F.aggregate(F.split(x, " "), start, step, lambda s: s["edits"] + F.greatest(s["left"], F.length(longer) - s["at"] + 1))
-
-
-def _verified(pairs: DataFrame, text: DataFrame, similarity: float) -> DataFrame:
-    """Those pairs ``(a, b)`` of lines whose edit similarity is enough; for most long lines a walk along their words shows it, which is much cheaper."""
+    """At least as many edits as ``y`` takes from ``x``: words of ``x`` are met in ``y`` one after another, the stretches passed over in between are compared as such."""
+    shorter, longer = F.concat(x, F.lit(" ")), F.concat(y, F.lit(" "))
+    passed = lambda s, n: F.call_function("levenshtein", shorter.substr(s["from"], s["left"]), longer.substr(s["at"], n))
+
+    def step(s, w):
+        size = F.length(w)
+        hit = F.call_function("locate", w, longer.substr(s["at"], s["left"] + size + REACH))
+        state = lambda since, at, left, edits: F.struct(since.alias("from"), at.alias("at"), left.alias("left"), edits.alias("edits"))
+        met = lambda hit: F.when(hit > 0, state(s["from"] + s["left"] + size, s["at"] + hit - 1 + size, F.lit(0), s["edits"] + passed(s, hit - 1))).otherwise(
+            state(s["from"], s["at"], s["left"] + size, s["edits"])
+        )
+        # Most words stand where the one before ends.
+        next_to = (s["left"] == 0) & (longer.substr(s["at"], size) == w)
+        return F.when(next_to, state(s["from"] + size, s["at"] + size, F.lit(0), s["edits"])).otherwise(F.get(F.transform(F.array(hit), met), F.lit(0)))
+
+    start = F.struct(F.lit(1).alias("from"), F.lit(1).alias("at"), F.lit(0).alias("left"), F.lit(0).alias("edits"))
+    return F.aggregate(F.regexp_extract_all(shorter, F.lit("[^ ]* "), F.lit(0)), start, step, lambda s: s["edits"] + passed(s, F.length(longer) - s["at"] + 1))
+
+
+def _verified(pairs: DataFrame, text: DataFrame, similarity: float, likely: bool = False) -> DataFrame:
+    """Those pairs ``(a, b)`` of lines whose edit similarity is enough.
+
+    For most long lines that are alike a walk along their words shows it, which is much cheaper; of pairs that are not ``likely`` alike only the longest
+    are worth it. What a walk leaves is dealt anew: its time goes with the square of the length, and few pairs may take nearly all of it.
+    """
     side = lambda node, norm: text.select(F.col("node").alias(node), F.col("norm").alias(norm))
-    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
     x, y = F.col("x"), F.col("y")
     size, most = F.greatest(F.length("x"), F.length("y")), _edits(F.length("x"), F.length("y"), similarity).cast("int")
-    similar = (x == y) | (size >= WALKED) & (_walked(x, y) <= most) | (F.call_function("levenshtein", x, y, most) >= 0)
+    near = (x == y) | (size >= (WALKED if likely else WALKED_ANYWAY)) & (_walked(x, y) <= most)
+    similar = F.call_function("levenshtein", x, y, most) >= 0
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
     # Rows of equal id and text may give a line twice.
-    return both.where(similar).select("a", "b").distinct()
+    if not likely:
+        return both.where(near | similar).select("a", "b").distinct()
+    both = both.select("a", "b", "x", "y", near.alias("near"))
+    both = cut(both.select("a", "b", "near", *[F.when(~F.col("near"), F.col(c)).alias(c) for c in ("x", "y")]), "lines-walked")
+    parts = PARTS_PER_CORE * text.sparkSession.sparkContext.defaultParallelism
+    other = both.where("not near").repartition(parts, "a", "b").where(similar)
+    links = cut(both.where("near").select("a", "b").union(other.select("a", "b")).distinct(), "lines-links")
+    forget(both)
+    return links
 
 
 def _grouped(docs: DataFrame, min_words: int, similarity: float, id_col: str, text_col: str, blocks: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -261,7 +291,7 @@ def _grouped(docs: DataFrame, min_words: int, similarity: float, id_col: str, te
     texts = cut(_texts(docs, lines, bucket.select("node").distinct(), id_col, text_col), "lines-texts")
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     first = cut(bucket.select("node", F.explode("prev").alias("prev")).where("prev <> node").select(*ordered("node", "prev")).distinct(), "lines-first")
-    links = cut(_verified(first, texts, similarity), "lines-links")
+    links = _verified(first, texts, similarity, True)
     found = cut(components(links), "lines-components")
 
     # What still spans groups: every pair of lines of different groups there is tested; where these are many, groups grow by a few tests of each line before.

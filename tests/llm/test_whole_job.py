@@ -133,3 +133,35 @@ def test_lines_of_several_buckets_make_one_pair(spark):
     known = spark.createDataFrame(rows, "node bigint, key bigint, len int, pa int, pb int, pc int, c bigint")
     # 1 and 2 meet everywhere, 3 meets them where its first part isn't asked, 4 where its second and fourth aren't.
     assert sorted(tuple(r) for r in linededup._pairs(known, 0.8).collect()) == [(1, 2), (1, 3), (1, 4), (2, 3), (2, 4)]
+
+
+def test_pairs_edited_within_words_are_told_alike_by_a_walk(spark):
+    """A walk once counted every word that changed as a whole; now stretches between words that are met count their edits."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(4, 14)))
+    pairs = []
+    for _ in range(20):
+        a = [word() for _ in range(60)]
+        b = [w[:-1] + "z" if i % 2 else w for i, w in enumerate(a)]
+        pairs.append((" ".join(a), " ".join(b)))
+    got = spark.createDataFrame(pairs, "x string, y string").select("x", "y", linededup._walked(F.col("x"), F.col("y")).alias("n")).collect()
+    assert all(r["n"] == distance(r["x"], r["y"]) == 30 for r in got)
+
+
+def test_samples_are_the_same_with_few_and_many_longer_words(spark):
+    """Lines with enough longer words rank these alone; the sample and its places are those of all words."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(1, 14)))
+    texts = [" ".join([word() for _ in range(n)] + ["twiceinaline"] * (n % 3)) for n in range(5, 60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = linededup._occurrences(df, 5, "doc_id", "text", True).collect()
+    hashes = {r["w"]: r["h"] for r in spark.createDataFrame([(w,) for w in {w for t in texts for w in t.split(" ")}], "w string").select("w", F.xxhash64("w").bitwiseAND(F.lit((1 << 60) - 1)).alias("h")).collect()}
+    assert len(rows) == len(texts)
+    for r in rows:
+        words = texts[r["doc"]].split(" ")
+        rank = lambda w: hashes[w] | max(0, min(7, 11 - len(w))) << 60
+        first = sorted({(rank(w) - (1 << 64) if rank(w) >> 63 else rank(w)) for w in words})[:5]
+        assert [r[f"s{i + 1}"] for i in range(len(first))] == first
+        framed = f" {texts[r['doc']]} "
+        of = {(rank(w) - (1 << 64) if rank(w) >> 63 else rank(w)): w for w in words}
+        assert [r[f"p{i + 1}"] for i in range(len(first))] == [framed.index(f" {of[h]} ") + 1 if words.count(of[h]) == 1 else None for h in first]
