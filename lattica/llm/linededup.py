@@ -287,7 +287,9 @@ def _grouped(docs: DataFrame, min_words: int, similarity: float, id_col: str, te
         raise ValueError("the similarity must be over 0.5 and at most 1")
     occ = cut(_occurrences(docs, min_words, id_col, text_col, blocks), "lines-occurrences")
     lines = cut(_distinct(occ), "lines-distinct")
+    occ = _without_samples(occ, "lines-places")
     bucket = cut(_buckets(lines, similarity), "lines-buckets")
+    lines = _without_samples(lines, "lines-plain")
     texts = cut(_texts(docs, lines, bucket.select("node").distinct(), id_col, text_col), "lines-texts")
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     first = cut(bucket.select("node", F.explode("prev").alias("prev")).where("prev <> node").select(*ordered("node", "prev")).distinct(), "lines-first")
@@ -323,6 +325,15 @@ def _grouped(docs: DataFrame, min_words: int, similarity: float, id_col: str, te
     return occ, lines, found
 
 
+def _without_samples(table: DataFrame, name: str) -> DataFrame:
+    """A cut table without the samples, which are the larger part of it and not asked for once there are buckets."""
+    if "s1" not in table.columns:
+        return table
+    after = cut(table.drop(*[f"{c}{i + 1}" for c in "sp" for i in range(SAMPLE)]), name)
+    forget(table)
+    return after
+
+
 def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
     """Groups with new links: groups so far are stars, which new links join by their members."""
     stars = found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
