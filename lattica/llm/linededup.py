@@ -58,8 +58,6 @@ LEAST_CHARS, GRAM_CHARS, GRAM = 10, 20, 4
 WALKED, WALKED_ANYWAY = 128, 4096
 #: Characters of one line that may be passed over, besides as many as of the other, until the next word of that is met.
 REACH = 24
-#: Parts for each core of the pairs that a walk doesn't tell to be alike.
-PARTS_PER_CORE = 8
 #: While buckets have over so many times their lines in pairs across groups, some of these are tested first, with so many neighbours of each line, in up to so many turns and while that share of them links.
 CROWDED, NEIGHBOURS, TURNS, WORTH = 4, 3, 6, 0.05
 _TOP = -(1 << 63)
@@ -261,7 +259,7 @@ def _verified(pairs: DataFrame, text: DataFrame, similarity: float, likely: bool
     """Those pairs ``(a, b)`` of lines whose edit similarity is enough.
 
     For most long lines that are alike a walk along their words shows it, which is much cheaper; of pairs that are not ``likely`` alike only the longest
-    are worth it. What a walk leaves is dealt anew: its time goes with the square of the length, and few pairs may take nearly all of it.
+    are worth it. What a walk leaves goes to a table, so that no pair is walked twice.
     """
     side = lambda node, norm: text.select(F.col("node").alias(node), F.col("norm").alias(norm))
     x, y = F.col("x"), F.col("y")
@@ -274,8 +272,7 @@ def _verified(pairs: DataFrame, text: DataFrame, similarity: float, likely: bool
         return both.where(near | similar).select("a", "b").distinct()
     both = both.select("a", "b", "x", "y", near.alias("near"))
     both = cut(both.select("a", "b", "near", *[F.when(~F.col("near"), F.col(c)).alias(c) for c in ("x", "y")]), "lines-walked")
-    parts = PARTS_PER_CORE * text.sparkSession.sparkContext.defaultParallelism
-    other = both.where("not near").repartition(parts, "a", "b").where(similar)
+    other = both.where("not near").where(similar)
     links = cut(both.where("near").select("a", "b").union(other.select("a", "b")).distinct(), "lines-links")
     forget(both)
     return links
